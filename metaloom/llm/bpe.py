@@ -167,7 +167,7 @@ def encode_words_native(words: DataFrame, path: str, word_col: str = "word") ->
     flat = ",".join(f"{b.hex()}:{r}" for b, r in ranks.items())
     rank = F.transform_values(F.str_to_map(F.lit(flat), F.lit(","), F.lit(":")), lambda _, v: v.cast("int"))
     hexed = F.lower(F.hex(F.encode(F.col(word_col), "UTF-8")))
-    units = F.transform(F.sequence(F.lit(1), F.length(hexed) / 2), lambda i: F.substring(hexed, (i * 2 - 1).cast("int"), F.lit(2)))
+    units = F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda i: F.substring(hexed, i * 2 - 1, F.lit(2)))
     start = F.when(F.length(hexed) > 0, units).otherwise(F.array().cast("array<string>"))
 
     def pair_rank(parts: Column, i: Column) -> Column:

@@ -77,16 +77,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 text.append(" ")
             continue
         closing, attrs = (m[2], m[4]) if m[3] else (m[5], m[7])
+        if away == "p" and name in _BLOCK and name != "br" and not (closing and name == "p"):  # any other block ends a paragraph
+            away, depth = "", 0
+            out += [("", 0, False)] * WINDOW
         if away:
             if name == away and name not in _VOID:
                 depth += -1 if closing else not attrs.endswith("/")
-            if depth <= 0 or away == "p" and not closing and name in _BLOCK and name not in ("br", "p"):
+            if depth <= 0:
                 away, depth = "", 0
                 out += [("", 0, False)] * WINDOW
-                if name == "p" or closing:
-                    continue
-            else:
-                continue
+            continue
         if name in _BLOCK:
             flush()
         if name == "a":

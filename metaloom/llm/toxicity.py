@@ -33,8 +33,9 @@ MEMO_WORDS = 300_000
 
 # The letters that a symbol may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
-COST = {"leet": 1.0, "drop": 0.6, "drop_digit": 3.0, "gap": 1.0, "repeat": 0.4}
+COST = {"leet": 1.0, "drop": 2.0, "drop_leet": 4.0, "drop_digit": 9.0, "gap": 5.0, "repeat": 0.4, "literal_digit": 4.0}
 
+LM_WEIGHT = 0.4  # of the character model against the channel
 SIZE = 64  # of the character model's alphabet: 0 is a gap, 1 any other character
 _CODES = np.ones(0x110000, np.uint8)
 for _c in " \t\n\v\f\r":
@@ -43,6 +44,7 @@ for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0x
     _CODES[ord(_c)] = _i
 _CODE = {chr(i): int(_CODES[i]) for i in range(0x100)}
 _RUN = re.compile(r"(.)\1\1+", re.S)
+_LEFT = "\"#%&'()*,-./:;<=>?[\\]^_`{}~¡¿«»…“”‘’–—"
 _EDGE = "!\"#%&'()*,-./:;<=>?[\\]^_`{|}~¡¿«»…“”‘’–—"
 
 
@@ -83,8 +85,8 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         base = 0.0 if c.isalpha() else COST["leet"]
         ways = [(x * k, base * k + COST["repeat"] * (n != k)) for x in letters for k in ({n} if n < 3 else {1, 2})]
         if not c.isalpha():
-            ways.append(("", COST["drop_digit" if c.isdigit() else "drop"] * n))
-            ways += [(" ", COST["gap"] * n)] if not c.isdigit() else [(c * n, 0.0)]
+            ways.append(("", COST["drop_digit" if c.isdigit() else "drop_leet" if letters else "drop"] * n))
+            ways += [(" ", COST["gap"] * n)] if not c.isdigit() else [(c * n, COST["literal_digit"] * n)]
         out.append(ways)
     return out
 
@@ -98,7 +100,7 @@ def restore(word: str, model: np.ndarray) -> str:
             s -= cost
             for c in text:
                 k = _CODE.get(c, 1)
-                s += float(model[a, b, k])
+                s += LM_WEIGHT * float(model[a, b, k])
                 a, b, path = b, k, (path, c)
             if (a, b) not in into or into[a, b][0] < s:
                 into[a, b] = (s, path)
@@ -132,8 +134,8 @@ class Reader(dict):
         return out
 
     def read(self, raw: str) -> tuple[str, ...]:
-        w = raw.lower().strip(_EDGE)
-        for mark in "$@+":
+        w = raw.lower().rstrip(_EDGE).lstrip(_LEFT)
+        for mark in "$@+!|":
             if w.endswith(mark * 3) or w.startswith(mark * 3):
                 w = w.strip(mark + _EDGE)
         if w.isalpha() and not _RUN.search(w):
