@@ -64,7 +64,7 @@ def ladder(value: Column, steps: list[str]) -> Column:
     top = F.max(F.when(value.isNotNull(), rank))
     specific = F.collect_set(F.when(value.isNotNull() & (rank == len(steps)), value))
     graded = F.max_by(value, F.when(value.isNotNull(), rank))
-    return F.when(top < len(steps), graded).when(F.size(specific) > 1, F.lit(CONTESTED)).otherwise(specific[0])
+    return F.when(top < len(steps), graded).when(F.size(specific) > 1, F.lit(CONTESTED)).otherwise(F.get(specific, F.lit(0)))
 
 
 def first_present(value: Column, order: Column) -> Column:

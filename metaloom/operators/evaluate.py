@@ -25,9 +25,9 @@ def auc(scores: DataFrame, labels: DataFrame, by: list[str], item: str) -> DataF
     least = scores.groupBy(*by).agg((F.min("score") - 1).alias("imputed"))
     x = labels.join(scores.select(*by, item, "score"), [*by, item], "left").join(least, by, "left")
     x = x.select(*by, "label", F.col("score").isNotNull().alias("scored"), F.coalesce("score", "imputed", F.lit(-1.0)).alias("s"))
-    at = rank.value_positions(x, "s", by).select(*by, "v", (F.col("below") + (F.col("c") + 1) / 2).alias("midrank"))
+    at = rank.value_positions(x, "s", by).select(*by, "_v", (F.col("below") + (F.col("c") + 1) / 2).alias("midrank"))
     counts = x.groupBy(*by, "s").agg(*[F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in (("p", F.col("label")), ("q", ~F.col("label")), ("ps", F.col("label") & F.col("scored")), ("qs", ~F.col("label") & F.col("scored")))])
-    joined = counts.join(at.withColumnRenamed("v", "s"), [*by, "s"])
+    joined = counts.join(at.withColumnRenamed("_v", "s"), [*by, "s"])
     g = joined.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("ps").alias("pos_scored"), F.sum("qs").alias("neg_scored"), F.sum(F.col("p") * F.col("midrank")).alias("rs"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     n1, n0, s1, s0 = (F.col(c) for c in ("n_pos", "n_neg", "pos_scored", "neg_scored"))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 
 def value_positions(df: DataFrame, score: str, by: list[str], descending: bool = False) -> DataFrame:
-    """(by..., v, c, below, n): how often a value occurs, how many rows lie before it, rows in all."""
-    counts = df.groupBy(*by, F.col(score).alias("v")).agg(F.count("*").alias("c"))
-    order = F.desc("v") if descending else F.asc("v")
+    """(by..., _v, c, below, n): how often a value occurs, how many rows lie before it, rows in all."""
+    counts = df.groupBy(*by, F.col(score).alias("_v")).agg(F.count("*").alias("c"))
+    order = F.desc("_v") if descending else F.asc("_v")
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     return counts.withColumn("below", F.sum("c").over(w) - F.col("c")).withColumn("n", F.sum("c").over(whole))
@@ -22,7 +22,7 @@ def value_positions(df: DataFrame, score: str, by: list[str], descending: bool =
 def midrank_percentile(df: DataFrame, score: str, by: list[str]) -> DataFrame:
     """df with ``percentile``: mean position of the tie block over n - 1; a single row has 1.0."""
     at = value_positions(df, score, by).withColumn("percentile", F.when(F.col("n") == 1, F.lit(1.0)).otherwise((F.col("below") + (F.col("c") - 1) / 2) / (F.col("n") - 1)))
-    keys = [df[k].eqNullSafe(at[k]) for k in by] + [df[score] == at["v"]]
+    keys = [df[k].eqNullSafe(at[k]) for k in by] + [df[score] == at["_v"]]
     on = keys[0]
     for k in keys[1:]:
         on = on & k
@@ -56,8 +56,8 @@ def hits_range(ranked: DataFrame, score: str, positive: str, by: list[str], k: i
 
     ``positive`` is a boolean column. Only value counts are ordered. A pool of k rows or fewer is exact.
     """
-    counts = ranked.groupBy(*by, F.col(score).alias("v")).agg(F.count("*").alias("c"), F.sum(F.col(positive).cast("long")).alias("p"))
-    w = Window.partitionBy(*by).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
+    counts = ranked.groupBy(*by, F.col(score).alias("_v")).agg(F.count("*").alias("c"), F.sum(F.col(positive).cast("long")).alias("p"))
+    w = Window.partitionBy(*by).orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
     x = counts.withColumn("before", F.sum("c").over(w) - F.col("c"))
     inside = F.col("before") + F.col("c") <= k
     cut = (F.col("before") < k) & ~inside
@@ -75,8 +75,8 @@ def hits_range(ranked: DataFrame, score: str, positive: str, by: list[str], k: i
 
 def mrr_range(ranked: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
     """(by..., mrr_max, mrr_min): the reciprocal rank of the first positive, best and worst within its tie block."""
-    counts = ranked.groupBy(*by, F.col(score).alias("v")).agg(F.count("*").alias("c"), F.sum(F.col(positive).cast("long")).alias("p"))
-    w = Window.partitionBy(*by).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
+    counts = ranked.groupBy(*by, F.col(score).alias("_v")).agg(F.count("*").alias("c"), F.sum(F.col(positive).cast("long")).alias("p"))
+    w = Window.partitionBy(*by).orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
     x = counts.withColumn("before", F.sum("c").over(w) - F.col("c"))
     first = x.where("p > 0").groupBy(*by).agg(F.min_by(F.struct("before", "c", "p"), "before").alias("f"))
     return first.select(*by, (1 / (F.col("f.before") + 1)).alias("mrr_max"), (1 / (F.col("f.before") + F.col("f.c") - F.col("f.p") + 1)).alias("mrr_min"))
