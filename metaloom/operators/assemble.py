@@ -9,6 +9,9 @@ witnesses sorted by (layer rank, line).
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +43,6 @@ def fact_id(*parts: Column) -> Column:
 
 def blake_fact_id(*parts: Column) -> Column:
     """The same shape of id by BLAKE2b with an 8-byte digest, for parity with releases made elsewhere; Arrow batches."""
-    import hashlib
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def digest(x: pd.Series) -> pd.Series:
         return x.map(lambda s: "E" + hashlib.blake2b(s.encode(), digest_size=8).hexdigest())
