@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,26 +159,39 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id
     return encoded.select(id_col, ids_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, decoded binary")
 
 
+BUCKETS = 1 << 16
+
+
+def rank_buckets(ranks: dict[bytes, int]) -> str:
+    """The rank map as text: line i has ";hex:rank" of the pieces whose hash falls into bucket i, so a lookup reads about one entry."""
+    lines = [""] * BUCKETS
+    for piece, r in ranks.items():
+        lines[xxhash.xxh64_intdigest(piece.hex().encode(), 42) % BUCKETS] += f";{piece.hex()}:{r}"
+    return "\n".join(lines)
+
+
 def encode_words_native(words: DataFrame, path: str, word_col: str = "word") -> DataFrame:
-    """The fold as Spark higher-order functions: ``word`` and ``ids``, by a literal rank map over hexadecimal pairs.
+    """The fold as Spark higher-order functions over a literal rank map: ``word`` and ``ids``.
 
-    Each step looks up all adjacent pairs in the map, joins the one of least rank and goes on until none has a rank.
+    A word is an array of hexadecimal pieces. Each step looks up all adjacent pairs, joins the one of least
+    rank and goes on until none has a rank. The literal is split once, when the plan is optimised.
     """
-    ranks = load_ranks(path)
-    flat = ",".join(f"{b.hex()}:{r}" for b, r in ranks.items())
-    rank = F.transform_values(F.str_to_map(F.lit(flat), F.lit(","), F.lit(":")), lambda _, v: v.cast("int"))
+    buckets = F.split(F.lit(rank_buckets(load_ranks(path))), "\n")
+
+    def rank(piece: Column) -> Column:
+        line = F.get(buckets, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int"))
+        key = F.concat(F.lit(";"), piece, F.lit(":"))
+        return F.when(F.contains(line, key), F.split_part(F.split_part(line, key, F.lit(2)), F.lit(";"), F.lit(1)).cast("int"))
+
     hexed = F.lower(F.hex(F.encode(F.col(word_col), "UTF-8")))
     units = F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda i: F.substring(hexed, i * 2 - 1, F.lit(2)))
     start = F.when(F.length(hexed) > 0, units).otherwise(F.array().cast("array<string>"))
-
-    def pair_rank(parts: Column, i: Column) -> Column:
-        return F.struct(F.coalesce(F.try_element_at(rank, F.concat(F.get(parts, i), F.get(parts, i + 1))), F.lit(2**31 - 1)).alias("r"), i.alias("i"))
+    none = 2**31 - 1
 
     def step(parts: Column, _: Column) -> Column:
-        best = F.array_min(F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: pair_rank(parts, i)))
-        at = best["i"]
-        joined = F.concat(F.slice(parts, F.lit(1), at), F.array(F.concat(F.get(parts, at), F.get(parts, at + 1))), F.slice(parts, at + 3, F.size(parts)))
-        return F.when(F.size(parts) < 2, parts).when(best["r"] == 2**31 - 1, parts).otherwise(joined)
+        pairs = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.struct(F.coalesce(rank(F.concat(F.get(parts, i), F.get(parts, i + 1))), F.lit(none)).alias("r"), i.alias("i")))
+        merged = lambda best: F.when(best["r"] == none, parts).otherwise(F.concat(F.slice(parts, F.lit(1), best["i"]), F.array(F.concat(F.get(parts, best["i"]), F.get(parts, best["i"] + 1))), F.slice(parts, best["i"] + 3, F.size(parts))))
+        return F.when(F.size(parts) < 2, parts).otherwise(F.transform(F.array(F.array_min(pairs)), merged)[0])
 
     merged = F.aggregate(start, start, step)
-    return words.select(F.col(word_col).alias("word"), F.transform(merged, lambda p: F.element_at(rank, p)).alias("ids"))
+    return words.select(F.col(word_col).alias("word"), F.transform(merged, rank).alias("ids"))
