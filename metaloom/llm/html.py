@@ -48,7 +48,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, length outside links, whether inside a marked article) of each block; gaps are WINDOW empty lines."""
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
-    plain, links, article, away, depth = 0, 0, 0, "", 0
+    plain, links, article, away, depth, marked = 0, 0, 0, "", 0, False
 
     def flush() -> None:
         nonlocal plain
@@ -80,6 +80,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if away == "p" and name in _BLOCK and name != "br" and not (closing and name == "p"):  # any other block ends a paragraph
             away, depth = "", 0
             out += [("", 0, False)] * WINDOW
+        if away and name in ("article", "main") and not closing and not marked and not _noise(attrs):  # no boilerplate holds the page's article
+            away, depth = "", 0
         if away:
             if name == away and name not in _VOID:
                 depth += -1 if closing else not attrs.endswith("/")
@@ -93,6 +95,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             links = 0 if closing else 1
         elif name in ("article", "main"):
             noisy = not closing and _noise(attrs)
+            marked = marked or not noisy
             if not noisy:
                 article = max(0, article + (-1 if closing else 1))
         if closing or name in _VOID:

@@ -80,5 +80,18 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, '0123456789abcdef' AS d FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, url, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((((instr(d, substr(x, 5 * i // 4 + 1, 1)) - 1) * 16 + greatest(instr(d, substr(x, 5 * i // 4 + 2, 1)) - 1, 0)) >> (3 - 5 * i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ann": _ANN_SQL}
+    return {"op4_ann": _ANN_SQL, "op8_warc": _WARC_SQL}

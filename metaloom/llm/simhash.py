@@ -13,7 +13,8 @@ which is exact too. Links go on as a tree per partition, never as all pairs.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like others; fewer words than a
 shingle: the whole sequence; a null id never represents a group (alone: component null); rows that repeat
-an id are rows of their own, and groups that share a representative id are one; other columns are ignored.
+an id are rows of their own, and groups that share a representative id are one; ids are integers; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -378,6 +378,7 @@ def test_main_text():
     assert html.main_text(PAGE) == "Head & line First bold text. next Second <x> a < b S."
     assert html.main_text("") == "" and html.main_text("<nav>a</nav>") == "" and html.main_text("<!-- x") == "" and html.main_text("<script>1") == ""
     assert html.main_text("plain") == "plain"
+    assert html.main_text('<div class="page has-sidebar"><nav>n</nav><article><p>Kept text</article><div class="sidebar">s</div></div>') == "Kept text"
     body = "<div>" + "word " * 60 + "</div>"
     assert html.main_text(f"<body><ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>{body}<div class='footer'>f</div><div>tiny</div></body>") == ("word " * 60).strip()
     assert html.main_text("<article>a<p>b<p>c &am").split() == ["a", "b", "c", "&am"]
