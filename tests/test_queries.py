@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+import metaloom.queries_census  # noqa: F401
 import metaloom.queries_sources  # noqa: F401
 from metaloom.queries import QUERIES, SQL
 
