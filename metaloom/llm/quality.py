@@ -159,8 +159,8 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str = "doc_id", r
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> RuleModel:
     sample = labelled_sample(labels, label_col, id_col)
     own = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)  # at most SAMPLE_ROWS rows
-    got = own.select(id_col, "y", *[c.alias(k) for k, c in statistics(F.col(text_col)).items()]).orderBy(id_col, *STATISTICS).toPandas()
-    return fit(got[list(STATISTICS)].to_numpy(np.float64), got["y"].to_numpy(np.float64))
+    got = own.select(id_col, "y", *[c.alias(k) for k, c in statistics(F.col(text_col)).items()]).orderBy(id_col, *STATISTICS).toArrow()
+    return fit(np.column_stack([got.column(k).to_numpy() for k in STATISTICS]).astype(np.float64), got.column("y").to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, model: RuleModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
