@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import pieces, strings
 
-BLOCK, STRIDE, REPS, SAMPLED, SIMILARITY, ITEMS_AT_ONCE = 12, 3, 16, 4, 0.8, 20_000
+BLOCK, STRIDE, REPS, SAMPLED, SIMILARITY, ITEMS_AT_ONCE = 12, 3, 40, 6, 0.8, 20_000
 MEMO_WORDS = 300_000
 _JUNK = re.compile(r"[\W_]+")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def words_of(text: str) -> list[str]:
@@ -64,6 +65,27 @@ def edit_place(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return d, -row[end][1], end
 
 
+def least_edits(item: dict[int, int], size: int, region: list[int]) -> int:
+    """The least word edit distance of an item to any stretch of the region, by Myers' bit vectors; the item is given as word to positions."""
+    full, high = (1 << size) - 1, 1 << (size - 1)
+    up, down, now = full, 0, size
+    best = size
+    for w in region:
+        eq = item.get(w, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph = (down | ~(xh | up)) & full
+        mh = up & xh
+        if ph & high:
+            now += 1
+        elif mh & high:
+            now -= 1
+            best = min(best, now)
+        ph, mh = (ph << 1) & full, (mh << 1) & full
+        up, down = mh | (~(xv | ph) & full), ph & xv
+    return best
+
+
 class Index:
     """LSH tables of the benchmark's blocks; small, built on the driver and sent to the tasks."""
 
@@ -75,6 +97,7 @@ class Index:
         self.bits = rng.integers(0, 2**63, len(self.vocab) + 1, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, len(self.vocab) + 1).astype(np.uint64)
         self.mix = rng.integers(1, 2**62, 3 * BLOCK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.ids = [np.array([self.vocab[w] for w in ws], np.int32) for _, ws in self.items]
+        self.positions: dict[int, dict[int, int]] = {}
         self.reps, blocks = reps, defaultdict(list)
         for n, ids in enumerate(self.ids):
             size = min(BLOCK, len(ids))
@@ -113,6 +136,15 @@ class Index:
                 sig ^= sig >> np.uint64(29)
             yield sig * self.mix[0]
 
+    def has(self, n: int, region: np.ndarray, slack: int) -> bool:
+        """Whether an item has a stretch of the region within the bound."""
+        if n not in self.positions:
+            own: dict[int, int] = defaultdict(int)
+            for i, w in enumerate(self.ids[n].tolist()):
+                own[w] |= 1 << i
+            self.positions[n] = dict(own)
+        return least_edits(self.positions[n], len(self.ids[n]), region.tolist()) <= slack
+
     def places(self, x: np.ndarray) -> dict[int, set[int]]:
         """Item number to the starts at which its whole window may lie, for words x (0: no benchmark word) that end in zeros."""
         known = np.concatenate([[0], np.cumsum(x > 0)])
@@ -144,8 +176,14 @@ class _Words(dict):
     def __missing__(self, raw: str) -> int:
         if len(self) > MEMO_WORDS:
             self.clear()
-        w = _JUNK.sub("", raw.lower())
-        n = self[raw] = self.vocab.get(w, 0) if w else -1
+        w = raw.lower()
+        n = self.vocab.get(w)
+        if n is None:
+            w = w.strip(_MARKS)
+            if not w.isalnum():
+                w = _JUNK.sub("", w)
+            n = self.vocab.get(w, 0) if w else -1
+        self[raw] = n
         return n
 
 
@@ -215,10 +253,10 @@ def _by_text(index: Index, x: np.ndarray, starts: np.ndarray, ends: np.ndarray)
                     continue
                 done = s + slack
                 low, high = max(0, s - slack), min(len(own), s + len(item) + 2 * slack)
-                if high <= low:
+                if high <= low or not index.has(n, own[low:high], slack):
                     continue
                 d, a, b = edit_place(item, own[low:high])
-                if d <= slack and (best is None or d < best[2]):
+                if best is None or d < best[2]:
                     best = (low + a, low + b, d)
             if best:
                 found.append((n, *best))
