@@ -4,7 +4,8 @@ P(word | history) = P(class | history) * P(word | class). The class of a word is
 the class distribution is a softmax over hashed features of the history: the last word, the word before
 it (a skip feature) and the pair. Every chunk of the corpus trains a copy of the weights by AdaGrad steps,
 and the chunks' updates are averaged, each row by how often the chunk met it; within a class, words have
-their maximum-entropy (relative frequency) weights with one count added and one place for unknown words.
+their maximum-entropy (relative frequency) weights, beside one place for unknown words that weighs as much
+as the words met once, and one more.
 
 The corpus is read once into chunks of at most ``CHUNK_TOKENS`` tokens (or one text): texts as numbers of
 the chunk's own dictionary, its dictionary with training counts, and its weights. Dictionaries meet by
@@ -26,12 +27,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, crc_mod, pieces, strings
 
-CLASSES, BUCKETS, CHUNK_TOKENS, BATCH, RATE = 32, 2048, 1_000_000, 8192, 0.3
+CLASSES, BUCKETS, CHUNK_TOKENS, BATCH, RATE = 32, 2048, 2_000_000, 8192, 0.1
+PART_CHUNKS = 4096
 TEMPLATES = 3
 ROWS = TEMPLATES * BUCKETS + 64  # the last block's first row is the bias
 BLOCK_ROWS = 64
@@ -120,7 +122,7 @@ def chunks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
         for i in range(0, len(ids), 1000):
             part = slice(i, i + 1000)
             m = len(ids[part])
-            yield rows(m, kind=pa.array(["d"] * m), chunk=pa.array([chunk] * m), held=pa.array(held[part]), ids=pa.array([t.tobytes() for t in texts[part]]), **{id_col: pa.array(ids[part], at)})
+            yield rows(m, kind=pa.array(["d"] * m), chunk=pa.array([chunk] * m), held=pa.array(held[part]), ids=pa.array([zlib.compress(t.tobytes(), 1) for t in texts[part]]), **{id_col: pa.array(ids[part], at)})
         yield rows(n, kind=pa.array(["w"] * n), chunk=pa.array([chunk] * n), number=pa.array(range(n)), word=pa.array(words), c=pa.array(count), tag=pa.array(tags))
         if len(flat):
             starts = np.cumsum([0, *(len(t) for t in train[:-1])])
@@ -172,6 +174,20 @@ def average_weights(blocks: DataFrame) -> np.ndarray:
     return out
 
 
+def corpus_counts(entries: DataFrame) -> DataFrame:
+    """(total, tag, at, first) of dictionary entries: a word's corpus count and where its entries are.
+
+    A word's places come in lists of at most PART_CHUNKS or so; ``first`` marks one list of each word.
+    """
+    parts = -(-entries.where("number = 0").count() // PART_CHUNKS)  # each chunk has one entry number 0
+    part = F.pmod(F.xxhash64("chunk"), F.lit(max(1, parts))).cast("int")
+    lists = entries.groupBy("word", part.alias("part")).agg(F.sum("c").alias("total"), F.first("tag").alias("tag"), F.collect_list(F.struct("chunk", "number")).alias("at"))
+    if parts <= 1:
+        return lists.select("total", "tag", "at", F.lit(True).alias("first"))
+    word = Window.partitionBy("word")
+    return lists.select(F.sum("total").over(word).alias("total"), "tag", "at", (F.col("part") == F.min("part").over(word)).alias("first"))
+
+
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     scratch = scratch or Scratch(docs.sparkSession)
@@ -179,16 +195,14 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sc
     parts = scratch.save(chunks(docs, id_col=id_col, text_col=text_col))
     weights = average_weights(parts.where("kind = 'm'"))
     entries = parts.where("kind = 'w'").select("chunk", "number", "word", "c", "tag")
-    totals = entries.groupBy("word").agg(F.sum("c").alias("total"), F.first("tag").alias("tag"), F.collect_list(F.struct("chunk", "number")).alias("at"))
-    totals = scratch.save(totals.select("total", "tag", "at"))
-    known = totals.where("total > 0").groupBy((F.col("tag") % CLASSES).cast("int").alias("k")).agg(F.sum("total").alias("n"), F.count("*").alias("v")).collect()
-    in_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, n, v in known:
-        in_class[k], v_class[k] = n, v
+    totals = scratch.save(corpus_counts(entries))
+    known = totals.where("total > 0 and first").groupBy((F.col("tag") % CLASSES).cast("int").alias("k")).agg(F.sum("total").alias("n"), F.count("*").alias("v"), F.sum((F.col("total") == 1).cast("long")).alias("once")).collect()
+    in_class, v_class, once = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
+    for k, n, v, o in known:
+        in_class[k], v_class[k], once[k] = n, v, o
     n_train, v_train = int(in_class.sum()), int(v_class.sum())
     log_base = math.log10(n_train + v_train + 1)
-    log_class = np.log10(in_class + v_class + 1)
-    log_class[0] = 0.0
+    log_class, log_unknown = np.log10(in_class + once + 1), np.log10(once + 1)
     out = f"{id_col} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     back = totals.select("total", "tag", F.explode("at").alias("at")).select("at.chunk", "at.number", "total", "tag")
     texts = parts.where("kind = 'd'").select("chunk", id_col, "held", "ids")
@@ -197,9 +211,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sc
         order = np.argsort(right.column("number").to_numpy())
         total, tag = right.column("total").to_numpy()[order], right.column("tag").to_numpy()[order]
         cls = tag % CLASSES
-        log_word = np.where(cls == 0, 0.0, np.log10(total + 1.0) - log_class[cls])
+        log_word = np.where(cls == 0, 0.0, np.where(total > 0, np.log10(np.maximum(total, 1.0)), log_unknown[cls]) - log_class[cls])
         log_count, met = np.log10(total + 1.0), total > 0
-        ids = [np.frombuffer(x, np.int32) for x in left.column("ids").to_pylist()]
+        ids = [np.frombuffer(zlib.decompress(x), np.int32) for x in left.column("ids").to_pylist()]
         flat = np.concatenate(ids)
         size = np.array([len(x) for x in ids])
         starts = np.cumsum(size) - size

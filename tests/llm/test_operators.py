@@ -456,6 +456,9 @@ def test_language_model(spark, docs, monkeypatch):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want
     assert all(r.train_tokens == n and r.score < 0 for r in got)
     assert lm.score(empty(spark)).collect() == []
+    monkeypatch.setattr(lm, "PART_CHUNKS", 2)
+    split = lm.score(docs).collect()
+    assert Counter((r.doc_id, round(r.base_score, 4), round(r.score, 4)) for r in split) == Counter((r.doc_id, round(r.base_score, 4), round(r.score, 4)) for r in got)
     only = lm.score(spark.createDataFrame([(i, "a b") for i in range(50)], "doc_id long, text string").where(common.crc_mod(F.col("doc_id"), 7) == 2)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in only)
 
