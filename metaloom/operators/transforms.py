@@ -111,7 +111,7 @@ def collapse_indications(rows: DataFrame) -> DataFrame:
 def collapse_targets(rows: DataFrame) -> DataFrame:
     """(compound, target, type): the first row's action, the earliest year, publications, and least, greatest and number of potencies."""
     return rows.groupBy("compound", "target", "type").agg(
-        F.min_by("action", "ordinal").alias("action"), F.min("year").alias("year"), F.array_sort(F.collect_set("publication")).alias("publications"),
+        F.min_by("action", F.struct("ordinal", "action")).alias("action"), F.min("year").alias("year"), F.array_sort(F.collect_set("publication")).alias("publications"),
         F.min("nm").alias("potency_min_nm"), F.max("nm").alias("potency_max_nm"), F.count("nm").alias("potency_rows"),
     )
 

@@ -87,7 +87,7 @@ def indication_collapse(spark, sf):
     return transforms.collapse_indications(i.select(F.col("l_partkey").alias("compound"), F.col("l_suppkey").alias("disease"), F.col("l_linenumber").alias("phase"), F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", F.col("l_orderkey").cast("string"))).alias("registry_id")))
 
 
-@query("""SELECT l_partkey AS compound, l_suppkey AS target, l_returnflag AS type, arg_min(l_linestatus, l_orderkey * 10 + l_linenumber) AS action, CAST(min(year(l_shipdate)) AS INTEGER) AS year, min(l_quantity) AS potency_min_nm, max(l_quantity) AS potency_max_nm, count(*) AS potency_rows FROM lineitem GROUP BY 1, 2, 3""")
+@query("""SELECT l_partkey AS compound, l_suppkey AS target, l_returnflag AS type, arg_min(l_linestatus, (l_orderkey * 10 + l_linenumber, l_linestatus)) AS action, CAST(min(year(l_shipdate)) AS INTEGER) AS year, min(l_quantity) AS potency_min_nm, max(l_quantity) AS potency_max_nm, count(*) AS potency_rows FROM lineitem GROUP BY 1, 2, 3""")
 def target_edge_collapse(spark, sf):
     i = load(spark, sf, "lineitem")
     rows = i.select(F.col("l_partkey").alias("compound"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("action"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.year("l_shipdate").alias("year"), F.lit("p").alias("publication"), F.col("l_quantity").alias("nm"))
