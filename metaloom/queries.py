@@ -375,7 +375,7 @@ def node_merge_conflicts(spark, sf):
     return assemble.merge_nodes(rows, ["flag", "status"])
 
 
-@query("""WITH RECURSIVE w AS (SELECT l_suppkey AS k, l_partkey AS o, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_linenumber % 3, l_orderkey * 10 + l_linenumber) AS i, CASE WHEN l_discount > 0.03 THEN l_quantity END AS x, CASE WHEN l_tax > 0.02 THEN l_quantity - 5 END AS lo, CASE WHEN l_tax > 0.02 THEN l_quantity + 5 END AS hi FROM lineitem),
+@query("""WITH RECURSIVE w AS (SELECT l_suppkey AS k, l_partkey AS o, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_linenumber % 3, l_orderkey * 10 + l_linenumber, CASE WHEN l_discount > 0.03 THEN l_quantity END NULLS FIRST, CASE WHEN l_tax > 0.02 THEN l_quantity - 5 END NULLS FIRST) AS i, CASE WHEN l_discount > 0.03 THEN l_quantity END AS x, CASE WHEN l_tax > 0.02 THEN l_quantity - 5 END AS lo, CASE WHEN l_tax > 0.02 THEN l_quantity + 5 END AS hi FROM lineitem),
 f AS (SELECT k, o, i, x, lo, hi FROM w WHERE i = 1 UNION ALL
 SELECT k, o, i, x, CASE WHEN lo <= x AND x <= hi THEN lo END, CASE WHEN lo <= x AND x <= hi THEN hi END FROM (SELECT f.k, f.o, w.i, coalesce(f.x, w.x) AS x, coalesce(f.lo, w.lo) AS lo, coalesce(f.hi, w.hi) AS hi FROM f JOIN w ON w.k = f.k AND w.o = f.o AND w.i = f.i + 1))
 SELECT k AS subject, o AS object, arg_max(struct_pack(x, lo, hi), i).x AS potency, arg_max(struct_pack(x, lo, hi), i).lo AS low, arg_max(struct_pack(x, lo, hi), i).hi AS high FROM f GROUP BY 1, 2""")
@@ -618,7 +618,7 @@ def empirical_p(spark, sf):
 @query("""WITH RECURSIVE t AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) AS i, p FROM (SELECT p_brand, p_type, count(*) FILTER (p_size > 25) / count(*) AS p FROM part GROUP BY 1, 2)),
 d AS (SELECT p_brand, CAST(0 AS BIGINT) AS i, [1.0::DOUBLE] AS x FROM (SELECT DISTINCT p_brand FROM part) UNION ALL
 SELECT d.p_brand, t.i, list_transform(generate_series(1, len(x) + 1), lambda k: coalesce(x[k], 0) * (1 - p) + CASE WHEN k > 1 THEN x[k - 1] * p ELSE 0 END) FROM d JOIN t ON t.p_brand = d.p_brand AND t.i = d.i + 1)
-SELECT p_brand, round(list_sum(x[4:]), 6) AS tail FROM (SELECT p_brand, arg_max(x, i) AS x FROM d GROUP BY 1)""")
+SELECT p_brand, round(coalesce(list_sum(x[4:]), 0), 6) AS tail FROM (SELECT p_brand, arg_max(x, i) AS x FROM d GROUP BY 1)""")
 def poisson_binomial_tail(spark, sf):
     p = load(spark, sf, "part").groupBy("p_brand", "p_type").agg((F.sum((F.col("p_size") > 25).cast("long")) / F.count("*")).alias("p"))
     g = p.groupBy("p_brand").agg(F.array_sort(F.collect_list("p")).alias("ps"))

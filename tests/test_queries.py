@@ -8,7 +8,7 @@ import metaloom.queries_census  # noqa: F401
 import metaloom.queries_sources  # noqa: F401
 from metaloom.queries import QUERIES, SQL
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
