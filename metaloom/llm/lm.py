@@ -1,17 +1,24 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The class of a word is a hash of its ending;
-the class distribution is a softmax over hashed features of the history: the last word, the word before
-it (a skip feature) and the pair. Every chunk of the corpus trains a copy of the weights by AdaGrad steps,
-and the chunks' updates are averaged, each row by how often the chunk met it; within a class, words have
-their maximum-entropy (relative frequency) weights, beside one place for unknown words that weighs as much
-as the words met once, and one more.
+P(word | history) = P(class | history) * P(word | class, history). The class of a word is a hash of its
+ending. The features of a history are the last word, the word before it (a skip feature) and the pair.
+
+The class distribution is a softmax over hashed features, their buckets growing with the root of the
+training tokens. It is fitted by iterative scaling: every round sums the observed and expected counts of
+all features over the whole corpus before the shared weights move, so file layout and parallelism do not
+change it.
+
+Within a class, a word's counts after each feature (hashed with its class to ``CONTEXT_BITS`` and
+``WORD_BITS``, counted over the whole corpus, as many as the corpus has) are discounted absolutely and
+interpolated: class frequency, skip, last word, pair. The discounts follow from how many counts are one
+and two. At the bottom, words have their relative frequency in the class, beside one place for unknown
+words that weighs as much as the words met once, and one more.
 
 The corpus is read once into chunks of at most ``CHUNK_TOKENS`` tokens (or one text): texts as numbers of
-the chunk's own dictionary, its dictionary with training counts, and its weights. Dictionaries meet by
-word to give corpus counts, which go back to their chunks; scoring then takes numpy batches of a chunk
-with its counts. No task ever holds the corpus dictionary, and only the weights, of fixed size, are
-broadcast.
+the chunk's dictionary. The counts of its words and features are sorted packed arrays, cut into ``SLICES``
+by hash. Slices of all chunks are added up and the sums go back to the chunks that asked; no
+task ever holds the corpus dictionary, and only the class weights are broadcast. Words are told apart by
+57 bits of hash and their class.
 
 Edge cases: a null or empty text is its end token alone; without training texts every count is zero and
 the classes are equally likely; a null id counts as training (remainder 0); rows that repeat an id are
@@ -26,18 +33,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, crc_mod, pieces, strings
 
-CLASSES, BUCKETS, CHUNK_TOKENS, BATCH, RATE = 32, 2048, 2_000_000, 8192, 0.1
-PART_CHUNKS = 4096
+CLASSES, BUCKETS, CHUNK_TOKENS, BATCH, ROUNDS = 32, 2048, 2_000_000, 32_768, 2
+SLICES, CONTEXT_BITS, WORD_BITS = 512, 36, 16
+PART_CHUNKS = 4096  # whose arrays of a slice are added up at once
 TEMPLATES = 3
 ROWS = TEMPLATES * BUCKETS + 64  # the last block's first row is the bias
 BLOCK_ROWS = 64
 START, END = 0, ""
+KEY_BITS, TAG_BITS = CONTEXT_BITS + WORD_BITS + 2, 62
 
 
 def class_of(word: str) -> int:
@@ -47,11 +57,15 @@ def class_of(word: str) -> int:
 
 def tag_of(word: str) -> int:
     """The word's hash and class in one number."""
-    return (zlib.crc32(word.encode()) * 2 + 1) * CLASSES + class_of(word)
+    return (xxhash.xxh64_intdigest(word.encode()) >> 7) * CLASSES + class_of(word)
+
+
+def buckets_for(tokens: int) -> int:
+    """Buckets of a class feature: a power of two near the root of the training tokens, BUCKETS at least."""
+    return max(BUCKETS, 1 << round(math.log2(max(1, tokens)) / 2))
 
 
-def history(tags: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Feature rows of every position: (positions, TEMPLATES)."""
+def _last_two(tags: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = tags // CLASSES
     one, two = np.empty_like(h), np.empty_like(h)
     one[1:], one[0] = h[:-1], START
@@ -59,37 +73,61 @@ def history(tags: np.ndarray, starts: np.ndarray) -> np.ndarray:
     one[starts], two[starts] = START, START
     after = starts[starts + 1 < len(h)] + 1
     two[after] = START
-    mix = lambda x, k: ((x.astype(np.uint64) * np.uint64(k)) >> np.uint64(40)).astype(np.int64) % BUCKETS
-    return np.column_stack([mix(one, 0x9E3779B97F4A7C15), BUCKETS + mix(two, 0xC2B2AE3D27D4EB4F), 2 * BUCKETS + mix(one * 31 + two * 17, 0xD6E8FEB86659FD93)])
+    return one, two
+
+
+def history(tags: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """Class feature rows of every position: (positions, TEMPLATES)."""
+    one, two = _last_two(tags, starts)
+    mix = lambda x, k: ((x.astype(np.uint64) * np.uint64(k)) >> np.uint64(40)).astype(np.int64) % buckets
+    return np.column_stack([mix(one, 0x9E3779B97F4A7C15), buckets + mix(two, 0xC2B2AE3D27D4EB4F), 2 * buckets + mix(one * 31 + two * 17, 0xD6E8FEB86659FD93)])
+
+
+def features(tags: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Keys of a word after its history within its class: (TEMPLATES, positions), in the order of interpolation.
+
+    A key's high bits are its context and class, its lowest two its template, the others the word's.
+    """
+    one, two = (x.astype(np.uint64) for x in _last_two(tags, starts))
+    word, cls = (tags // CLASSES).astype(np.uint64), (tags % CLASSES).astype(np.uint64)
+    word = (word & np.uint64((1 << WORD_BITS) - 1)) << np.uint64(2)
+    out = np.empty((TEMPLATES, len(tags)), np.uint64)
+    for k, (a, b) in enumerate(((0, 1), (1, 0), (1, 1))):
+        x = one * np.uint64(0x9E3779B97F4A7C15 * a) + two * np.uint64(0xC2B2AE3D27D4EB4F * b) + (cls * np.uint64(4) + np.uint64(k + 1)) * np.uint64(0xD6E8FEB86659FD93)
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ (x >> np.uint64(33))) * np.uint64(m)
+        out[k] = ((x >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS + 2)) | word | np.uint64(k)
+    return out
 
 
 def class_logs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """log P(class | history) of a batch of positions."""
-    z = weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + weights[TEMPLATES * BUCKETS]
+    z = weights[rows[:, 0]]
+    z += weights[rows[:, 1]]
+    z += weights[rows[:, 2]]
+    z += weights[len(weights) - BLOCK_ROWS]
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def train_chunk(rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights after one pass of AdaGrad over the positions, and how often each row was met."""
-    w, g2 = np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, CLASSES), np.float32)
-    seen = np.zeros(ROWS)
-    for at in range(0, len(rows), BATCH):
-        r, c = rows[at : at + BATCH], classes[at : at + BATCH]
-        g = np.exp(class_logs(w, r))
-        g[np.arange(len(c)), c] -= 1
-        for f in [*r.T, None]:
-            if f is None:
-                own, total, n = np.array([TEMPLATES * BUCKETS]), g.sum(axis=0, keepdims=True), np.array([len(g)])
-            else:
-                order = np.argsort(f, kind="stable")
-                own, first = np.unique(f[order], return_index=True)
-                total = np.add.reduceat(g[order], first, axis=0)
-                n = np.diff(np.append(first, len(f)))
-            g2[own] += total * total
-            w[own] -= RATE * total / np.sqrt(g2[own] + 1e-6)
-            seen[own] += n
-    return w, seen
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def pack(x: np.ndarray, ordered: bool = False) -> bytes:
+    """Whole numbers as the bytes that differ from zero, lowest first; of an ordered array its steps."""
+    x = x.astype(np.uint64)
+    x = np.diff(x, prepend=np.uint64(0)) if ordered else x
+    planes = -(-int(x.max()).bit_length() // 8) if len(x) else 0
+    z = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return len(x).to_bytes(4, "little") + z.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()) + z.flush()
+
+
+def unpack(data: bytes, ordered: bool = False) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    raw = np.frombuffer(zlib.decompress(data[4:], -15), np.uint8)
+    x = np.zeros((n, 8), np.uint8)
+    if len(raw):
+        x[:, : len(raw) // n] = raw.reshape(-1, n).T
+    x = x.view(np.uint64).ravel()
+    return np.cumsum(x, dtype=np.uint64) if ordered else x
 
 
 def _read(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str) -> Iterator[tuple[object, bool, bytes]]:
@@ -104,33 +142,23 @@ class _Numbers(dict):
         return n
 
 
+def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how many of each are training ones."""
+    keys = np.sort((keys << np.uint64(1)) | train)
+    first = np.flatnonzero(np.r_[True, keys[1:] >> np.uint64(1) != keys[:-1] >> np.uint64(1)])
+    return keys[first] >> np.uint64(1), np.add.reduceat((keys & np.uint64(1)).astype(np.int64), first)
+
+
 def chunks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """One pass over the texts: rows of three kinds, d (a text), w (a dictionary entry) and m (a block of weights)."""
+    """One pass over the texts: a row for each chunk with its texts and its dictionary."""
     kind = docs.schema[id_col].dataType.simpleString()
     at = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    schema = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), (id_col, at), ("held", pa.bool_()), ("ids", pa.binary()), ("number", pa.int32()), ("word", pa.string()), ("c", pa.int64()), ("tag", pa.int64()), ("block", pa.int32())])
-
-    def rows(n: int, **cols: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-    def flush(chunk: int, ids: list, held: list, texts: list[np.ndarray], numbers: _Numbers) -> Iterator[pa.RecordBatch]:
-        words = [w.decode() for w in numbers]
-        n, tags = len(words), np.array([tag_of(w) for w in words], np.int64)
-        train = [t for t, h in zip(texts, held) if not h]
-        flat = np.concatenate(train) if train else np.empty(0, np.int32)
-        count = np.bincount(flat, minlength=n)
-        for i in range(0, len(ids), 1000):
-            part = slice(i, i + 1000)
-            m = len(ids[part])
-            yield rows(m, kind=pa.array(["d"] * m), chunk=pa.array([chunk] * m), held=pa.array(held[part]), ids=pa.array([zlib.compress(t.tobytes(), 1) for t in texts[part]]), **{id_col: pa.array(ids[part], at)})
-        yield rows(n, kind=pa.array(["w"] * n), chunk=pa.array([chunk] * n), number=pa.array(range(n)), word=pa.array(words), c=pa.array(count), tag=pa.array(tags))
-        if len(flat):
-            starts = np.cumsum([0, *(len(t) for t in train[:-1])])
-            own = tags[flat]
-            w, seen = train_chunk(history(own, starts), own % CLASSES)
-            blocks = ROWS // BLOCK_ROWS
-            data = [seen[i * BLOCK_ROWS : (i + 1) * BLOCK_ROWS].astype(np.float64).tobytes() + w[i * BLOCK_ROWS : (i + 1) * BLOCK_ROWS].tobytes() for i in range(blocks)]
-            yield rows(blocks, kind=pa.array(["m"] * blocks), chunk=pa.array([chunk] * blocks), block=pa.array(range(blocks)), ids=pa.array(data))
+
+    def flush(chunk: int, ids: list, held: list, texts: list[np.ndarray], numbers: _Numbers) -> pa.RecordBatch:
+        tags, number = np.unique(np.array([tag_of(w.decode()) for w in numbers], np.int64), return_inverse=True)
+        size, held = np.array([len(t) for t in texts]), np.array(held, bool)
+        flat = number.astype(np.int32)[np.concatenate(texts)]
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), id_col: pa.array([ids], pa.list_(at)), "held": [held.tobytes()], "size": [pack(size)], "ids": [zlib.compress(flat.tobytes(), 1)], "tags": [pack(tags, True)], "trained": pa.array([int(size[~held].sum())], pa.int64())})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -142,97 +170,181 @@ def chunks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
             texts.append(x)
             size += len(x)
             if size >= CHUNK_TOKENS:
-                yield from flush(first + n, ids, held, texts, numbers)
+                yield flush(first + n, ids, held, texts, numbers)
                 n, size, ids, held, texts, numbers = n + 1, 0, [], [], [], _Numbers()
         if ids:
-            yield from flush(first + n, ids, held, texts, numbers)
+            yield flush(first + n, ids, held, texts, numbers)
 
-    out = f"kind string, chunk bigint, {id_col} {kind}, held boolean, ids binary, number int, word string, c bigint, tag bigint, block int"
+    out = f"chunk bigint, {id_col} array<{kind}>, held binary, size binary, ids binary, tags binary, trained bigint"
     return docs.select(id_col, text_col, (crc_mod(F.col(id_col), 7) == 2).alias("held")).mapInArrow(run, out)
 
 
-def average_weights(blocks: DataFrame) -> np.ndarray:
-    """The chunks' weights, each row averaged by its visits; summed in two steps so that no task gathers all chunks."""
+def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's dictionary of tags, its tokens' numbers, and its texts' starts, sizes and whether they are held out."""
+    size = unpack(row["size"]).astype(np.int64)
+    return unpack(row["tags"], True).astype(np.int64), np.frombuffer(zlib.decompress(row["ids"]), np.int32), np.cumsum(size) - size, size, np.frombuffer(row["held"], bool)
+
+
+def slices(texts: DataFrame) -> DataFrame:
+    """The counts of the words and features of each chunk, a row for each slice of their hashes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            tags, flat, starts, size, held = _texts(b.to_pylist()[0])
+            train = ~np.repeat(held, size)
+            count = np.bincount(flat[train], minlength=len(tags))
+            keys, n = counted(features(tags[flat], starts).ravel(), np.tile(train, TEMPLATES))
+            cuts = [np.searchsorted(x, np.arange(SLICES + 1, dtype=np.uint64) * np.uint64((1 << bits) // SLICES)) for x, bits in ((tags.astype(np.uint64), TAG_BITS), (keys, KEY_BITS))]
+            found = [k for k in range(SLICES) if cuts[0][k] < cuts[0][k + 1] or cuts[1][k] < cuts[1][k + 1]]
+            part = lambda x, cut, ordered=False: pa.array([pack(x[cut[k] : cut[k + 1]], ordered) for k in found], pa.binary())
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(b.column("chunk").to_pylist() * len(found), pa.int64()), "slice": pa.array(found, pa.int32()), "words": part(tags, cuts[0], True), "word_n": part(count, cuts[0]), "keys": part(keys, cuts[1], True), "key_n": part(n, cuts[1])})
+
+    return texts.mapInArrow(run, "chunk bigint, slice int, words binary, word_n binary, keys binary, key_n binary")
+
+
+def feature_sums(texts: DataFrame, buckets: int, weights: np.ndarray | None) -> np.ndarray:
+    """How often each class was met with each class feature in training, or with ``weights`` is expected to be; summed over all chunks.
+
+    As many tasks as run at once each send one matrix, so what is shuffled does not grow with the chunks.
+    """
+    height = TEMPLATES * buckets + BLOCK_ROWS
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            for k, data, summed in zip(*(b.column(c).to_pylist() for c in ("block", "ids", "summed"))):
-                seen = np.frombuffer(data[: 8 * BLOCK_ROWS])
-                w = np.frombuffer(data[8 * BLOCK_ROWS :], np.float64 if summed else np.float32).reshape(BLOCK_ROWS, CLASSES).astype(np.float64)
-                w = w if summed else w * seen[:, None]
-                total[k] = (total[k][0] + seen, total[k][1] + w) if k in total else (seen, w)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(total, pa.int32()), "ids": pa.array([s.tobytes() + w.tobytes() for s, w in total.values()], pa.binary()), "summed": pa.array([True] * len(total), pa.bool_())})
-
-    kind = "block int, ids binary, summed boolean"
-    part = blocks.select("block", "ids", F.lit(False).alias("summed")).mapInArrow(add, kind)
-    whole = part.repartition("block").mapInArrow(add, kind)
-    out = np.zeros((ROWS, CLASSES), np.float32)
-    for k, data, _ in whole.collect():  # ROWS / BLOCK_ROWS rows of fixed size
-        seen, w = np.frombuffer(data[: 8 * BLOCK_ROWS]), np.frombuffer(data[8 * BLOCK_ROWS :]).reshape(BLOCK_ROWS, CLASSES)
-        out[k * BLOCK_ROWS : (k + 1) * BLOCK_ROWS] = w / np.maximum(seen, 1)[:, None]
+        total = np.zeros((height, CLASSES))
+        for b in pieces(batches, 1):
+            tags, flat, starts, size, held = _texts(b.to_pylist()[0])
+            own, train = tags[flat], ~np.repeat(held, size)
+            rows, cls = history(own, starts, buckets)[train], (own % CLASSES)[train]
+            if weights is None:
+                for f in rows.T:
+                    total += np.bincount(f * CLASSES + cls, minlength=total.size).reshape(total.shape)
+                total[height - BLOCK_ROWS] += np.bincount(cls, minlength=CLASSES)
+                continue
+            for i in range(0, len(rows), BATCH):
+                r = rows[i : i + BATCH]
+                p = np.exp(class_logs(weights, r))
+                for f in r.T:
+                    order = np.argsort(f, kind="stable")
+                    own = f[order]
+                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    total[own[first]] += np.add.reduceat(p[order], first, axis=0)
+                total[height - BLOCK_ROWS] += p.sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(range(0, height, BLOCK_ROWS), pa.int32()), "data": pa.array([total[i : i + BLOCK_ROWS].tobytes() for i in range(0, height, BLOCK_ROWS)], pa.binary())})
+
+    def whole(t: pa.Table) -> pa.Table:
+        data = np.sum([np.frombuffer(x) for x in sorted(t.column("data").to_pylist())], axis=0)
+        return pa.table({"block": t.column("block")[:1], "data": pa.array([data.tobytes()], pa.binary())})
+
+    tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    out = np.zeros((height, CLASSES))
+    for k, data in texts.coalesce(tasks).mapInArrow(add, "block int, data binary").groupBy("block").applyInArrow(whole, "block int, data binary").collect():
+        out[k : k + BLOCK_ROWS] = np.frombuffer(data).reshape(-1, CLASSES)
     return out
 
 
-def corpus_counts(entries: DataFrame) -> DataFrame:
-    """(total, tag, at, first) of dictionary entries: a word's corpus count and where its entries are.
-
-    A word's places come in lists of at most PART_CHUNKS or so; ``first`` marks one list of each word.
+def train(texts: DataFrame, tokens: int) -> np.ndarray:
+    """Class weights by ROUNDS of iterative scaling from a share of each feature's own log odds; every position has TEMPLATES features and the bias."""
+    buckets = buckets_for(tokens)
+    if not tokens:
+        return np.zeros((TEMPLATES * buckets + BLOCK_ROWS, CLASSES), np.float32)
+    met = feature_sums(texts, buckets, None)
+    bias = len(met) - BLOCK_ROWS
+    share = (met[bias] + 1) / (met[bias] + 1).sum()
+    w = 0.6 * (np.log((met + 10 * share) / (met.sum(axis=1, keepdims=True) + 10)) - np.log(share))
+    w[bias], w[bias + 1 :] = np.log(share), 0
+    for _ in range(ROUNDS):
+        w += np.log((met + 1) / (feature_sums(texts, buckets, w.astype(np.float32)) + 1)) / (TEMPLATES + 1)
+    return w.astype(np.float32)
+
+
+def _added(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key over the chunks' packed arrays, PART_CHUNKS at a time."""
+    own, total = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for i in range(0, len(keys), PART_CHUNKS):
+        x = np.concatenate([own, *(unpack(k, True) for k in keys[i : i + PART_CHUNKS])])
+        n = np.concatenate([total, *(unpack(c).astype(np.int64) for c in counts[i : i + PART_CHUNKS])])
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+        own, total = x[first], np.add.reduceat(n[order], first) if len(x) else total
+    return own, total
+
+
+def corpus_counts(slices: DataFrame) -> DataFrame:
+    """For each chunk and slice the corpus counts of its words and features, in the order of its arrays, and a row of statistics a slice.
+
+    Of a feature key: its own count, the count of its context and class, and how many keys those have.
     """
-    parts = -(-entries.where("number = 0").count() // PART_CHUNKS)  # each chunk has one entry number 0
-    part = F.pmod(F.xxhash64("chunk"), F.lit(max(1, parts))).cast("int")
-    lists = entries.groupBy("word", part.alias("part")).agg(F.sum("c").alias("total"), F.first("tag").alias("tag"), F.collect_list(F.struct("chunk", "number")).alias("at"))
-    if parts <= 1:
-        return lists.select("total", "tag", "at", F.lit(True).alias("first"))
-    word = Window.partitionBy("word")
-    return lists.select(F.sum("total").over(word).alias("total"), "tag", "at", (F.col("part") == F.min("part").over(word)).alias("first"))
+
+    def add(t: pa.Table) -> pa.Table:
+        raw = {c: t.column(c).to_pylist() for c in ("chunk", "words", "word_n", "keys", "key_n")}
+        words, n = _added(raw["words"], raw["word_n"])
+        keys, m = _added(raw["keys"], raw["key_n"])
+        context = keys >> np.uint64(WORD_BITS + 2)
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]][: len(keys)])
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+        all_n = np.bincount(group, weights=m, minlength=len(first)).astype(np.int64)
+        kinds = np.bincount(group, weights=m > 0, minlength=len(first)).astype(np.int64)
+        cls, template = (words % np.uint64(CLASSES)).astype(np.int64), (keys & np.uint64(3)).astype(np.int64)
+        by = lambda x, at, size: np.bincount(at, weights=x, minlength=size).tolist()
+        stats = by(n, cls, CLASSES) + by(n > 0, cls, CLASSES) + by(n == 1, cls, CLASSES) + by(m == 1, template, TEMPLATES) + by(m == 2, template, TEMPLATES)
+        out = [(None, None, None, None, None, stats)]
+        for chunk, w, k in zip(raw["chunk"], raw["words"], raw["keys"]):
+            at = np.searchsorted(keys, unpack(k, True))
+            out.append((chunk, pack(n[np.searchsorted(words, unpack(w, True))]), pack(m[at]), pack(all_n[group[at]]), pack(kinds[group[at]]), None))
+        types = [pa.int64(), *[pa.binary()] * 4, pa.list_(pa.float64())]
+        names = ["chunk", "word_n", "key_n", "context_n", "context_kinds", "stats"]
+        return pa.table({"slice": pa.array([t.column("slice")[0].as_py()] * len(out), pa.int32())} | {c: pa.array(x, k) for c, x, k in zip(names, zip(*out), types)})
+
+    return slices.groupBy("slice").applyInArrow(add, "slice int, chunk bigint, word_n binary, key_n binary, context_n binary, context_kinds binary, stats array<double>")
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = scratch.save(chunks(docs, id_col=id_col, text_col=text_col))
-    weights = average_weights(parts.where("kind = 'm'"))
-    entries = parts.where("kind = 'w'").select("chunk", "number", "word", "c", "tag")
-    totals = scratch.save(corpus_counts(entries))
-    known = totals.where("total > 0 and first").groupBy((F.col("tag") % CLASSES).cast("int").alias("k")).agg(F.sum("total").alias("n"), F.count("*").alias("v"), F.sum((F.col("total") == 1).cast("long")).alias("once")).collect()
-    in_class, v_class, once = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, n, v, o in known:
-        in_class[k], v_class[k], once[k] = n, v, o
+    texts = scratch.save(chunks(docs, id_col=id_col, text_col=text_col))
+    weights = train(texts, texts.agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0])
+    buckets = (len(weights) - BLOCK_ROWS) // TEMPLATES
+    totals = scratch.save(corpus_counts(slices(texts)))
+    stats = np.zeros(3 * CLASSES + 2 * TEMPLATES)
+    for r in totals.where("stats is not null").select("stats").collect():  # a row a slice
+        stats += np.array(r[0])
+    in_class, v_class, once = stats[: 3 * CLASSES].reshape(3, CLASSES)
+    one, two = stats[3 * CLASSES :].reshape(2, TEMPLATES)
+    discount = np.where(one > 0, one / np.maximum(one + 2 * two, 1), 0.5)
     n_train, v_train = int(in_class.sum()), int(v_class.sum())
     log_base = math.log10(n_train + v_train + 1)
-    log_class, log_unknown = np.log10(in_class + once + 1), np.log10(once + 1)
     out = f"{id_col} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    back = totals.select("total", "tag", F.explode("at").alias("at")).select("at.chunk", "at.number", "total", "tag")
-    texts = parts.where("kind = 'd'").select("chunk", id_col, "held", "ids")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("number").to_numpy())
-        total, tag = right.column("total").to_numpy()[order], right.column("tag").to_numpy()[order]
-        cls = tag % CLASSES
-        log_word = np.where(cls == 0, 0.0, np.where(total > 0, np.log10(np.maximum(total, 1.0)), log_unknown[cls]) - log_class[cls])
+        tags, flat, starts, size, held = _texts(left.to_pylist()[0])
+        right = right.sort_by("slice")
+        whole = lambda c: np.concatenate([unpack(x.as_py()) for x in right.column(c)]).astype(np.float64)
+        total, cls, own = whole("word_n"), tags % CLASSES, tags[flat]
+        p = (np.where(cls == 0, 1.0, np.where(total > 0, total, once[cls] + 1) / (in_class + once + 1)[cls]))[flat]
+        _, at = np.unique(features(own, starts).ravel(), return_inverse=True)
+        n, all_n, kinds = whole("key_n"), whole("context_n"), whole("context_kinds")
+        for d, k in zip(discount, at.reshape(TEMPLATES, -1)):
+            c = all_n[k]
+            p = np.where(c > 0, (np.maximum(n[k] - d, 0) + d * kinds[k] * p) / np.maximum(c, 1), p)
         log_count, met = np.log10(total + 1.0), total > 0
-        ids = [np.frombuffer(zlib.decompress(x), np.int32) for x in left.column("ids").to_pylist()]
-        flat = np.concatenate(ids)
-        size = np.array([len(x) for x in ids])
-        starts = np.cumsum(size) - size
-        own = tag[flat]
-        rows, c = history(own, starts), own % CLASSES
+        rows, c = history(own, starts, buckets), own % CLASSES
         by_class = np.empty(len(flat))
-        for at in range(0, len(flat), BATCH):
-            logs = class_logs(weights, rows[at : at + BATCH])
-            by_class[at : at + BATCH] = logs[np.arange(len(logs)), c[at : at + BATCH]]
+        for i in range(0, len(flat), BATCH):
+            logs = class_logs(weights, rows[i : i + BATCH])
+            by_class[i : i + BATCH] = logs[np.arange(len(logs)), c[i : i + BATCH]]
         return pa.table(
             {
-                id_col: left.column(id_col),
-                "held_out": left.column("held"),
+                id_col: left.column(id_col).combine_chunks().flatten(),
+                "held_out": pa.array(held),
                 "n_tokens": pa.array(size, pa.int64()),
                 "n_known": pa.array(np.add.reduceat(met[flat].astype(np.int64), starts), pa.int64()),
                 "train_tokens": pa.array([n_train] * len(size), pa.int64()),
                 "base_score": np.add.reduceat(log_count[flat], starts) - size * log_base,
-                "score": np.add.reduceat(by_class / math.log(10) + log_word[flat], starts),
+                "score": np.add.reduceat(by_class / math.log(10) + np.log10(p), starts),
             }
         )
 
+    back = totals.where("chunk is not null").drop("stats")
     return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, out)

@@ -472,3 +472,13 @@ def test_language_model_is_a_distribution_and_beats_the_base(spark, sf):
     assert (rows[0] == rows[3]).all() and not (rows[1] == rows[2]).all()
     out = lm.score(common.table(spark, sf, "documents")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert out[1] > out[0]
+
+
+def test_language_model_words_follow_their_history_within_a_class(spark):
+    train = [(i, "aa p1xy" if i % 2 else "bb p2xy") for i in range(400)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = train + list(zip(held, ("aa p1xy", "aa p2xy", "bb p2xy", "bb p1xy")))
+    out = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert lm.class_of("p1xy") == lm.class_of("p2xy")
+    assert out[held[0]] > out[held[1]] + 1 and out[held[2]] > out[held[3]] + 1
+    assert lm.buckets_for(4_000_000_000) > lm.buckets_for(64_000_000) > lm.buckets_for(1000) == lm.BUCKETS
