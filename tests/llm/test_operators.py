@@ -482,3 +482,9 @@ def test_language_model_words_follow_their_history_within_a_class(spark):
     assert lm.class_of("p1xy") == lm.class_of("p2xy")
     assert out[held[0]] > out[held[1]] + 1 and out[held[2]] > out[held[3]] + 1
     assert lm.buckets_for(4_000_000_000) > lm.buckets_for(64_000_000) > lm.buckets_for(1000) == lm.BUCKETS
+
+
+def test_language_model_does_not_depend_on_file_layout(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    one, many = (Counter((r.doc_id, round(r.score, 3)) for r in lm.score(d).collect()) for d in (docs.coalesce(1), docs.repartition(30)))
+    assert sum((one & many).values()) >= 0.99 * docs.count()  # all but what is rounded the other way
