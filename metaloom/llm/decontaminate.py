@@ -9,6 +9,11 @@ count that an edit distance within the bound implies, only those with enough ben
 up, and each hit is verified by the exact edit distance of the whole item against its place in the
 document. An item is found where at most ``1 - similarity`` of its words are edited.
 
+Sampled keys miss some places near that bound, so the items' pieces are looked up too: an item that may
+have e edits is cut into e + 1 pieces, of which one at least is left as it was. Every place within the
+bound is thus a candidate: the recall is 1, whatever the walk does (but for equal hashes, which only add
+candidates).
+
 Edge cases: null or empty texts and items match nothing; items shorter than BLOCK words are a block of
 their own, and those of fewer than five words need an exact match; rows that repeat an id count as they
 are; the benchmark is taken in pieces of ``ITEMS_AT_ONCE``, so what is sent to the tasks is bounded;
@@ -114,6 +119,26 @@ class Index:
                 low[(sig >> np.uint64(46)).astype(np.int64)] = True
                 table.append((sig[order], where[order], low))
             self.tables[size] = table
+        seeds = defaultdict(list)
+        for n, ids in enumerate(self.ids):
+            parts = min(edits_allowed(len(ids), similarity) + 1, len(ids))
+            size = min(BLOCK, len(ids) // parts)
+            seeds[size] += [(ids[at : at + size], n, at) for at in range(0, parts * (len(ids) // parts), len(ids) // parts)]
+        self.seeds = {}
+        for size, found in sorted(seeds.items()):
+            sig = self.exact(np.concatenate([w for w, _, _ in found]), np.arange(len(found)) * size, size)
+            order = np.argsort(sig, kind="stable")
+            low = np.zeros(1 << 18, bool)
+            low[(sig >> np.uint64(46)).astype(np.int64)] = True
+            self.seeds[size] = (sig[order], np.array([(n, at) for _, n, at in found], np.int32)[order], low)
+
+    def exact(self, x: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Hash keys of whole windows."""
+        sig = np.zeros(len(starts), np.uint64)
+        for j in range(size):
+            sig = (sig ^ x[starts + j].astype(np.uint64)) * self.mix[j]
+            sig ^= sig >> np.uint64(29)
+        return sig * self.mix[0]
 
     def embed(self, x: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         """The walk's output, one column per window; past its end a window has zeros."""
@@ -166,6 +191,20 @@ class Index:
         return found
 
 
+    def intact(self, x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item number, place of one of its pieces, start at which the whole item may lie), for words x as in ``places``."""
+        known = np.concatenate([[0], np.cumsum(x > 0)])
+        for size, (sigs, where, low) in self.seeds.items():
+            starts = np.flatnonzero(known[size:] - known[:-size] == size)
+            sig = self.exact(x, starts, size)
+            maybe = np.flatnonzero(low[(sig >> np.uint64(46)).astype(np.int64)])
+            a, b = np.searchsorted(sigs, sig[maybe], "left"), np.searchsorted(sigs, sig[maybe], "right")
+            for i in np.flatnonzero(b > a):
+                place = int(starts[maybe[i]])
+                for n, at in where[a[i] : b[i]].tolist():
+                    yield n, place, place - at
+
+
 class _Words(dict):
     """Raw word to vocabulary number: 0 for other words, -1 for what has no letter or digit."""
 
@@ -242,6 +281,9 @@ def _by_text(index: Index, x: np.ndarray, starts: np.ndarray, ends: np.ndarray)
             for k in {i, min(i + 1, len(starts) - 1)}:  # an item that starts before its text does
                 if s < ends[k] and s + len(index.ids[n]) > starts[k]:
                     places[k][n].add(s - int(starts[k]))
+    for n, place, s in index.intact(x):
+        k = int(np.searchsorted(starts, place, "right")) - 1
+        places[k][n].add(s - int(starts[k]))
     for i in sorted(places):
         own = x[starts[i] : ends[i] - BLOCK]
         found = []

@@ -210,6 +210,26 @@ def test_decontamination_against_all_windows(spark, planted):
     assert {r.doc_id for r in clean.collect()} == set(texts) - {d for d, _ in got}
 
 
+def test_decontamination_finds_every_item_at_the_full_bound(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("aeioubcdfglmnprst") for _ in range(7)) for _ in range(4000)]
+    items, docs = [], []
+    for size in (*range(5, 25), 35, 59, 120):
+        for _ in range(12):
+            item = [rng.choice(vocab) for _ in range(size)]
+            own, most = list(item), decontaminate.edits_allowed(size, 0.8)
+            spots = range(size // 2 - most // 2, size // 2 - most // 2 + most) if len(items) % 3 == 0 else rng.sample(range(size), most)
+            for at in sorted(spots, reverse=True):
+                own[at : at + 1] = rng.choice([["qqq"], [rng.choice(vocab)], [], [own[at], "zzz"]])
+            if len(items) % 5 == 0:
+                own = item[most:]
+            docs.append((len(items), " ".join(own if len(items) % 5 == 0 else [*rng.choices(vocab, k=30), *own, *rng.choices(vocab, k=30)])))
+            items.append((len(items), " ".join(item)))
+    df = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string").coalesce(1)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df(docs, "doc_id"), df(items, "item_id")).collect()}
+    assert {(i, i) for i, _ in items} <= got
+
+
 def test_decontamination_of_empty_tables(spark, planted):
     docs, bench, _ = planted
     assert decontaminate.contaminated(empty(spark), bench).collect() == []
