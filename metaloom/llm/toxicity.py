@@ -4,7 +4,8 @@ A character trigram model is counted over all texts. A word that looks written a
 symbols for letters, letters repeated, characters or spaces put between letters) becomes a lattice of
 readings, and Viterbi decoding under the character model and the channel's costs restores the likeliest
 one; other words are their own reading. A logistic model over restored words, fitted on a labelled sample
-(at most ``SAMPLE_ROWS`` rows, the only bound), scores the text.
+(at most ``SAMPLE_ROWS`` rows, the only bound), scores the text. Its lexicon holds the words of at least
+``MIN_DOCS`` toxic documents found at a false discovery rate of ``FALSE_SHARE``.
 
 Edge cases: null and empty texts score as texts without words; null labels are left out, of labels that
 repeat an id the largest counts; without labels of both classes the score is the smoothed share of label
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, pieces, strings
 from .quality import labelled_sample
 
-SAMPLE_ROWS, MIN_DOCS, MIN_Z, THRESHOLD = 20_000, 3, 4.0, 0.5
+SAMPLE_ROWS, MIN_DOCS, FALSE_SHARE, THRESHOLD = 20_000, 3, 0.001, 0.5
 MEMO_WORDS = 300_000
 
 # The letters that a symbol may stand for.
@@ -213,6 +214,21 @@ def fit_logistic(group: np.ndarray, at: np.ndarray, col: np.ndarray, value: np.n
     return w
 
 
+def discoveries(a: np.ndarray, b: np.ndarray, share: float, false_share: float = FALSE_SHARE) -> np.ndarray:
+    """Which words, in ``a`` toxic and ``b`` clean documents, are toxic more often than the share of toxic documents tells.
+
+    By the signed root of the binomial deviance, of which rare words that separate the classes get their due;
+    the cut keeps the expected share of false ones among those found (Benjamini and Hochberg).
+    """
+    n = a + b
+    deviance = 2 * (a * np.log(np.maximum(a, 1) / (n * share)) + b * np.log(np.maximum(b, 1) / (n * (1 - share))))
+    z = np.where(a > n * share, np.sqrt(np.maximum(deviance, 0)), 0.0)
+    p = np.array([math.erfc(x / math.sqrt(2)) / 2 for x in z])
+    ranked = np.sort(p)
+    under = np.flatnonzero(ranked <= false_share * np.arange(1, len(p) + 1) / max(1, len(p)))
+    return p <= (ranked[under[-1]] if len(under) else -1.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", scratch: Scratch | None = None) -> Model:
     scratch = scratch or Scratch(docs.sparkSession)
     characters = character_model(count_characters(docs, text_col=text_col))
@@ -232,11 +248,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         share = (n1 + 1) / (n1 + n0 + 2)
         return Model(characters, {}, np.array([np.log(share / (1 - share))] + [0.0] * (GROUP - 1)))
     each = rows.select("row", "y", F.explode("words").alias("x")).select("row", "y", "x.w", "x.n")
-    odds = each.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    lo = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n0 - F.col("b") + 0.5))
-    z = lo / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    words = odds.where((F.col("a") >= MIN_DOCS) & (z >= MIN_Z)).select("w").orderBy("w")
-    lexicon = {w: i for i, w in enumerate(words.toArrow().column("w").to_pylist())}  # a subset of the sample's words
+    odds = each.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") >= MIN_DOCS).orderBy("w").toArrow()
+    found = odds.select(["w"]).filter(pa.array(discoveries(odds.column("a").to_numpy(), odds.column("b").to_numpy(), n1 / (n1 + n0)), pa.bool_()))
+    lexicon = {w: i for i, w in enumerate(found.column("w").to_pylist())}  # a subset of the sample's words
+    words = docs.sparkSession.createDataFrame([(w,) for w in lexicon], "w string")
     own = rows.select("row", "y").orderBy("row").toArrow()
     order, y = own.column("row").to_numpy(), own.column("y").to_numpy()
     hits = each.join(F.broadcast(words), "w").select("row", "w", "n").toArrow()

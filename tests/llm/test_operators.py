@@ -373,6 +373,13 @@ def test_deobfuscation(toxic):
         assert read.text(plain) == re.sub(r"\W", "", plain)
 
 
+def test_rare_words_that_separate_enter_the_lexicon(toxic):
+    assert {"moron", "loser", "pathetic"} <= set(toxic.lexicon)
+    a, b = np.array([8.0, 8.0, 40.0, 350.0]), np.array([0.0, 60.0, 310.0, 2803.0])
+    assert toxicity.discoveries(a, b, 352 / 3155).tolist() == [True, False, False, False]
+    assert toxicity.discoveries(np.zeros(0), np.zeros(0), 0.1).tolist() == []
+
+
 def test_toxicity_of_planted_texts(spark, sf, toxic):
     clean = "Thering of the estion and hater inthe onder with wher and of the sting or therat."
     rows = [(0, clean), (1, clean + " You stupid idiot and worthless scum moron clown"), (2, clean + " You stup1d 1diot and w0rthless sc.u.m m0ron cl0wn"), (3, None), (4, "")]
