@@ -4,8 +4,9 @@ Markup is stripped into lines, one for each block element; a menu, header, foote
 advert, form or reader comment leaves a gap of empty lines, and text inside links does not count towards a
 line's length. The lengths are summed over a sliding window of ``WINDOW`` lines: where the sum rises from
 zero the text surges, where it falls back to zero it dives, and what lies between is kept whole, short
-lines included. On pages that mark their article, only surges with marked lines count; on others, surges
-of less than ``SHARE`` of the largest are dropped as noise.
+lines included. On pages that mark their article, all its lines are kept, whatever the sums say. On
+others, surges of less than ``SHARE`` of the largest are dropped as noise unless they lie between kept ones;
+and a line in the same container below the body as a kept surge's line is kept, links or not.
 
 Edge cases: null or empty pages have no text; markup that is cut off or never closed ends with the page;
 comments, scripts and styles that are never closed reach to its end; text of any length is kept whole;
@@ -35,6 +36,7 @@ _TAG = re.compile(
 )
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _AWAY = frozenset("nav header footer aside form button menu dialog head".split())
+_UNCLOSED = frozenset("p li dt dd option tr td th".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NOISE = re.compile(
@@ -44,9 +46,11 @@ _NOISE = re.compile(
 )
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length outside links, whether inside a marked article) of each block; gaps are WINDOW empty lines."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, frozenset[int]]]:
+    """(text, length outside links, whether inside a marked article, own block and its parent below the body) of each block; gaps are WINDOW empty lines."""
+    gap = [("", 0, False, frozenset())] * WINDOW
+    out: list[tuple[str, int, bool, frozenset[int]]] = []
+    blocks: list[tuple[str, int]] = []  # open blocks and their places
     text: list[str] = []
     plain, links, article, away, depth, marked = 0, 0, 0, "", 0, False
 
@@ -55,7 +59,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if text:
             line = " ".join("".join(text).split())
             if line:
-                out.append((line, plain and max(1, plain), article > 0))
+                out.append((line, plain and max(1, plain), article > 0, frozenset(n for b, n in blocks[-2:] if b not in ("html", "body"))))
             text.clear()
         plain = 0
 
@@ -79,7 +83,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         closing, attrs = (m[2], m[4]) if m[3] else (m[5], m[7])
         if away == "p" and name in _BLOCK and name != "br" and not (closing and name == "p"):  # any other block ends a paragraph
             away, depth = "", 0
-            out += [("", 0, False)] * WINDOW
+            out += gap
         if away and name in ("article", "main") and not closing and not marked and not _noise(attrs):  # no boilerplate holds the page's article
             away, depth = "", 0
         if away:
@@ -87,10 +91,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 depth += -1 if closing else not attrs.endswith("/")
             if depth <= 0:
                 away, depth = "", 0
-                out += [("", 0, False)] * WINDOW
+                out += gap
             continue
         if name in _BLOCK:
             flush()
+            if closing:
+                at_open = next((i for i in range(len(blocks) - 1, -1, -1) if blocks[i][0] == name), len(blocks))
+                del blocks[at_open:]
+            elif blocks and blocks[-1][0] in _UNCLOSED and (blocks[-1][0] == "p" or name == blocks[-1][0]) and name not in _VOID:
+                blocks.pop()
         if name == "a":
             links = 0 if closing else 1
         elif name in ("article", "main"):
@@ -104,6 +113,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name in _AWAY and not inner_header or attrs and name not in ("html", "body") and _noise(attrs):
             flush()
             away, depth = name, 1
+        elif name in _BLOCK:
+            blocks.append((name, at))
     add(page[at:])
     flush()
     return out
@@ -115,7 +126,9 @@ def _noise(attrs: str) -> bool:
 
 def main_text(page: str) -> str:
     lines = lines_of(page)
-    size = [n for _, n, _ in lines]
+    if any(m for _, _, m, _ in lines):
+        return " ".join(x for x, _, m, _ in lines if m and x)
+    size = [n for _, n, _, _ in lines]
     block = [sum(size[i : i + WINDOW]) for i in range(len(size))]
     surges, i = [], 0
     while i < len(size):
@@ -129,12 +142,11 @@ def main_text(page: str) -> str:
         i = j
     if not surges:
         return ""
-    if any(m for _, _, m in lines):
-        kept = [lines[k][0] for i, j in surges for k in range(i, j) if lines[k][2]]
-    else:
-        largest = max(sum(size[i:j]) for i, j in surges)
-        kept = [lines[k][0] for i, j in surges if sum(size[i:j]) >= SHARE * largest for k in range(i, j)]
-    return " ".join(x for x in kept if x)
+    largest = max(sum(size[i:j]) for i, j in surges)
+    large = [(i, j) for i, j in surges if sum(size[i:j]) >= SHARE * largest]
+    kept = {k for i, j in surges if large[0][0] <= i <= large[-1][0] for k in range(i, j)}
+    own = frozenset().union(*(lines[k][3] for i, j in large for k in range(i, j)))
+    return " ".join(x for k, (x, _, _, within) in enumerate(lines) if x and (k in kept or within & own))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

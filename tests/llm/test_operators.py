@@ -412,6 +412,15 @@ def test_main_text():
     assert len(html.main_text("<article><p>" + "wort " * 200_000 + "</p></article>")) == 999_999
 
 
+def test_main_text_keeps_short_and_linked_parts_of_the_text():
+    long = "word " * 60
+    links = "<p><a href=x>first link</a></p>"
+    assert html.main_text(f"<article>{links}<p>{long}</p>{links}</article>") == f"first link {long}first link"
+    page = "<body><ul><li><a href=x>one</a></li></ul><div class='page'>{}</div><div class='footer'>f</div><div>tiny</div></body>"
+    assert html.main_text(page.format(f"{links}<p>{long}</p><div class='advert'>Buy</div><p>The end.</p>{links}")) == f"first link {long}The end. first link"
+    assert html.main_text(page.format(f"<p>{long}</p><div class='ad'>Buy</div><div><p>Short.</p></div><div class='ad'>Buy</div><p>{long}</p>")) == f"{long}Short. {long}".strip()
+
+
 def test_pages_of_the_table(spark, sf):
     import html as H
 
