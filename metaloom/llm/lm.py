@@ -1,28 +1,27 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, history). The class of a word is a hash of its
-ending. The features of a history are the last word, the word before it (a skip feature) and the pair.
-
-The class distribution is a softmax over hashed features, their buckets growing with the root of the
-training tokens. It is fitted by iterative scaling: every round sums the observed and expected counts of
-all features over the whole corpus before the shared weights move, so file layout and parallelism do not
-change it.
-
-Within a class, a word's counts after each feature (hashed with its class to ``CONTEXT_BITS`` and
-``WORD_BITS``, counted over the whole corpus, as many as the corpus has) are discounted absolutely and
-interpolated: class frequency, skip, last word, pair. The discounts follow from how many counts are one
-and two. At the bottom, words have their relative frequency in the class, beside one place for unknown
-words that weighs as much as the words met once, and one more.
+P(word | history) = P(class | history) * P(digit 1 | class, history) * ... * P(word | leaf). The class of a
+word is the band of its corpus count (one class holds the words met at most once and a place for unknown
+words, one the end token); the digits (base ``WIDE``) of its hash split a class into nested classes, more
+for a band of more words, so that a leaf holds few. Each of these softmaxes starts from its node's share of
+tokens and adds three features, hashed to rows of weights: the node with the last word, with the word
+before it (a skip), and with both. In a leaf a word has its share of the leaf's tokens.
+
+Training: ``ROUNDS`` gradient updates. Documents are dealt to the rounds by a hash of their id; in each
+round the tasks sum the observed and the expected counts of all features over that round's documents under
+the shared weights, and the driver moves each weight along its gradient, divided by a bound of its
+curvature. All sums run over the corpus, so file layout and parallelism do not change the model; every
+training token is in one round. Scoring adds rows of weights in sparse numpy batches.
 
 The corpus is read once into chunks of at most ``CHUNK_TOKENS`` tokens (or one text): texts as numbers of
-the chunk's dictionary. The counts of its words and features are sorted packed arrays, cut into ``SLICES``
-by hash. Slices of all chunks are added up and the sums go back to the chunks that asked; no
-task ever holds the corpus dictionary, and only the class weights are broadcast. Words are told apart by
-57 bits of hash and their class.
+the chunk's dictionary. Corpus counts of words are added up in ``SLICES`` by hash and go back to the chunks
+that asked: no task holds the corpus dictionary. What is broadcast are the weights, whose rows grow with
+the root of the training tokens (``rows_for``), and the leaves' totals, whose number grows with the
+vocabulary. Words are told apart by 64 bits of hash.
 
 Edge cases: a null or empty text is its end token alone; without training texts every count is zero and
-the classes are equally likely; a null id counts as training (remainder 0); rows that repeat an id are
-rows of their own; other columns are ignored.
+the score is that of unknown words; a null id counts as training (remainder 0); rows that repeat an id are
+rows of their own; ids are of any type; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +29,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,75 +40,25 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, crc_mod, pieces, strings
 
-CLASSES, BUCKETS, CHUNK_TOKENS, BATCH, ROUNDS = 32, 2048, 2_000_000, 32_768, 2
-SLICES, CONTEXT_BITS, WORD_BITS = 512, 36, 16
+ROUNDS, RATE, DAMP = 8, 0.4, 4.0
+WIDE, DIGITS, BANDS, TEMPLATES, NEVER = 16, 4, 14, 3, -1e4
+MIN_ROWS, BLOCK_ROWS, CLASS_SHARE = 4096, 1024, 4  # rows of a template; of a block; how many times fewer the classes have
+CHUNK_TOKENS, BATCH, SLICES = 2_000_000, 32_768, 512
 PART_CHUNKS = 4096  # whose arrays of a slice are added up at once
-TEMPLATES = 3
-ROWS = TEMPLATES * BUCKETS + 64  # the last block's first row is the bias
-BLOCK_ROWS = 64
-START, END = 0, ""
-KEY_BITS, TAG_BITS = CONTEXT_BITS + WORD_BITS + 2, 62
-
-
-def class_of(word: str) -> int:
-    """0 is the end token's; a word's class is a hash of its last two characters."""
-    return 0 if word == END else 1 + zlib.crc32(word[-2:].encode()) % (CLASSES - 1)
-
-
-def tag_of(word: str) -> int:
-    """The word's hash and class in one number."""
-    return (xxhash.xxh64_intdigest(word.encode()) >> 7) * CLASSES + class_of(word)
-
-
-def buckets_for(tokens: int) -> int:
-    """Buckets of a class feature: a power of two near the root of the training tokens, BUCKETS at least."""
-    return max(BUCKETS, 1 << round(math.log2(max(1, tokens)) / 2))
+END = b""
+_ODD = np.uint32(0x9E3779B1)
 
 
-def _last_two(tags: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = tags // CLASSES
-    one, two = np.empty_like(h), np.empty_like(h)
-    one[1:], one[0] = h[:-1], START
-    two[2:], two[:2] = h[:-2], START
-    one[starts], two[starts] = START, START
-    after = starts[starts + 1 < len(h)] + 1
-    two[after] = START
-    return one, two
+def tag_of(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
 
 
-def history(tags: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Class feature rows of every position: (positions, TEMPLATES)."""
-    one, two = _last_two(tags, starts)
-    mix = lambda x, k: ((x.astype(np.uint64) * np.uint64(k)) >> np.uint64(40)).astype(np.int64) % buckets
-    return np.column_stack([mix(one, 0x9E3779B97F4A7C15), buckets + mix(two, 0xC2B2AE3D27D4EB4F), 2 * buckets + mix(one * 31 + two * 17, 0xD6E8FEB86659FD93)])
+def rows_for(tokens: int) -> int:
+    """Rows of a template's weights: a power of two that grows with the cube root of the training tokens."""
+    return max(MIN_ROWS, 1 << round(math.log2(max(1, tokens)) / 3 + 6.67))
 
 
-def features(tags: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Keys of a word after its history within its class: (TEMPLATES, positions), in the order of interpolation.
-
-    A key's high bits are its context and class, its lowest two its template, the others the word's.
-    """
-    one, two = (x.astype(np.uint64) for x in _last_two(tags, starts))
-    word, cls = (tags // CLASSES).astype(np.uint64), (tags % CLASSES).astype(np.uint64)
-    word = (word & np.uint64((1 << WORD_BITS) - 1)) << np.uint64(2)
-    out = np.empty((TEMPLATES, len(tags)), np.uint64)
-    for k, (a, b) in enumerate(((0, 1), (1, 0), (1, 1))):
-        x = one * np.uint64(0x9E3779B97F4A7C15 * a) + two * np.uint64(0xC2B2AE3D27D4EB4F * b) + (cls * np.uint64(4) + np.uint64(k + 1)) * np.uint64(0xD6E8FEB86659FD93)
-        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-            x = (x ^ (x >> np.uint64(33))) * np.uint64(m)
-        out[k] = ((x >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS + 2)) | word | np.uint64(k)
-    return out
-
-
-def class_logs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """log P(class | history) of a batch of positions."""
-    z = weights[rows[:, 0]]
-    z += weights[rows[:, 1]]
-    z += weights[rows[:, 2]]
-    z += weights[len(weights) - BLOCK_ROWS]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+# ---------------------------------------------------------------- packed arrays
 
 
 def pack(x: np.ndarray, ordered: bool = False) -> bytes:
@@ -130,10 +80,16 @@ def unpack(data: bytes, ordered: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64) if ordered else x
 
 
-def _read(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str) -> Iterator[tuple[object, bool, bytes]]:
-    for b in pieces(batches):
-        for i, held, t in zip(b.column(id_col).to_pylist(), b.column("held").to_pylist(), strings(b, text_col)):
-            yield i, held, t.encode().lower()
+def _squeeze(flat: np.ndarray) -> bytes:
+    return len(flat).to_bytes(4, "little") + pa.compress(flat.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    return np.frombuffer(pa.decompress(data[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.int32)
+
+
+# ---------------------------------------------------------------- chunks and corpus counts
 
 
 class _Numbers(dict):
@@ -142,119 +98,51 @@ class _Numbers(dict):
         return n
 
 
-def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, and how many of each are training ones."""
-    keys = np.sort((keys << np.uint64(1)) | train)
-    first = np.flatnonzero(np.r_[True, keys[1:] >> np.uint64(1) != keys[:-1] >> np.uint64(1)])
-    return keys[first] >> np.uint64(1), np.add.reduceat((keys & np.uint64(1)).astype(np.int64), first)
-
-
 def chunks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """One pass over the texts: a row for each chunk with its texts and its dictionary."""
+    """One pass over the texts: a row for each chunk with its texts, ordered by round, and its dictionary."""
     kind = docs.schema[id_col].dataType.simpleString()
-    at = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
-    def flush(chunk: int, ids: list, held: list, texts: list[np.ndarray], numbers: _Numbers) -> pa.RecordBatch:
-        tags, number = np.unique(np.array([tag_of(w.decode()) for w in numbers], np.int64), return_inverse=True)
-        size, held = np.array([len(t) for t in texts]), np.array(held, bool)
-        flat = number.astype(np.int32)[np.concatenate(texts)]
-        return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), id_col: pa.array([ids], pa.list_(at)), "held": [held.tobytes()], "size": [pack(size)], "ids": [zlib.compress(flat.tobytes(), 1)], "tags": [pack(tags, True)], "trained": pa.array([int(size[~held].sum())], pa.int64())})
+    def flush(chunk: int, docs_: list[tuple], numbers: _Numbers, at: pa.DataType) -> pa.RecordBatch:
+        docs_.sort(key=lambda d: d[2])
+        ids, held, rounds, texts = zip(*docs_)
+        tags, number = np.unique(np.fromiter(map(tag_of, numbers), np.uint64, len(numbers)), return_inverse=True)
+        size, held, flat = np.array([len(t) for t in texts]), np.array(held, bool), number.astype(np.int32)[np.concatenate(texts)]
+        count = np.bincount(flat[~np.repeat(held, size)], minlength=len(tags))
+        cols = {"held": held.tobytes(), "round": np.array(rounds, np.uint8).tobytes(), "size": pack(size), "ids": _squeeze(flat), "tags": pack(tags, True), "count": pack(count)}
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "id": pa.array([list(ids)], pa.list_(at))} | {k: pa.array([v], pa.binary()) for k, v in cols.items()})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        n, size, ids, held, texts, numbers = 0, 0, [], [], [], _Numbers()
-        for i, h, t in _read(batches, id_col, text_col):
-            x = np.fromiter(map(numbers.__getitem__, [*t.split(), END.encode()]), np.int32)
-            ids.append(i)
-            held.append(h)
-            texts.append(x)
-            size += len(x)
-            if size >= CHUNK_TOKENS:
-                yield flush(first + n, ids, held, texts, numbers)
-                n, size, ids, held, texts, numbers = n + 1, 0, [], [], [], _Numbers()
-        if ids:
-            yield flush(first + n, ids, held, texts, numbers)
-
-    out = f"chunk bigint, {id_col} array<{kind}>, held binary, size binary, ids binary, tags binary, trained bigint"
-    return docs.select(id_col, text_col, (crc_mod(F.col(id_col), 7) == 2).alias("held")).mapInArrow(run, out)
-
-
-def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's dictionary of tags, its tokens' numbers, and its texts' starts, sizes and whether they are held out."""
-    size = unpack(row["size"]).astype(np.int64)
-    return unpack(row["tags"], True).astype(np.int64), np.frombuffer(zlib.decompress(row["ids"]), np.int32), np.cumsum(size) - size, size, np.frombuffer(row["held"], bool)
+        n, size, held, numbers, at = 0, 0, [], _Numbers(), None
+        for b in pieces(batches):
+            at = b.column(id_col).type
+            for i, h, r, t in zip(b.column(id_col).to_pylist(), b.column("held").to_pylist(), b.column("round").to_pylist(), strings(b, text_col)):
+                x = np.fromiter(map(numbers.__getitem__, [*t.encode().lower().split(), END]), np.int32)
+                held.append((i, h, r, x))
+                size += len(x)
+                if size >= CHUNK_TOKENS:
+                    yield flush(first + n, held, numbers, at)
+                    n, size, held, numbers = n + 1, 0, [], _Numbers()
+        if held:
+            yield flush(first + n, held, numbers, at)
+
+    out = f"chunk bigint, id array<{kind}>, held binary, round binary, size binary, ids binary, tags binary, count binary"
+    own = docs.select(id_col, text_col, (crc_mod(F.col(id_col), 7) == 2).alias("held"), F.pmod(F.xxhash64(id_col), F.lit(ROUNDS)).cast("int").alias("round"))
+    return own.mapInArrow(run, out)
 
 
 def slices(texts: DataFrame) -> DataFrame:
-    """The counts of the words and features of each chunk, a row for each slice of their hashes."""
+    """The training counts of the words of each chunk, a row for each slice of their hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
-            tags, flat, starts, size, held = _texts(b.to_pylist()[0])
-            train = ~np.repeat(held, size)
-            count = np.bincount(flat[train], minlength=len(tags))
-            keys, n = counted(features(tags[flat], starts).ravel(), np.tile(train, TEMPLATES))
-            cuts = [np.searchsorted(x, np.arange(SLICES + 1, dtype=np.uint64) * np.uint64((1 << bits) // SLICES)) for x, bits in ((tags.astype(np.uint64), TAG_BITS), (keys, KEY_BITS))]
-            found = [k for k in range(SLICES) if cuts[0][k] < cuts[0][k + 1] or cuts[1][k] < cuts[1][k + 1]]
-            part = lambda x, cut, ordered=False: pa.array([pack(x[cut[k] : cut[k + 1]], ordered) for k in found], pa.binary())
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(b.column("chunk").to_pylist() * len(found), pa.int64()), "slice": pa.array(found, pa.int32()), "words": part(tags, cuts[0], True), "word_n": part(count, cuts[0]), "keys": part(keys, cuts[1], True), "key_n": part(n, cuts[1])})
-
-    return texts.mapInArrow(run, "chunk bigint, slice int, words binary, word_n binary, keys binary, key_n binary")
-
-
-def feature_sums(texts: DataFrame, buckets: int, weights: np.ndarray | None) -> np.ndarray:
-    """How often each class was met with each class feature in training, or with ``weights`` is expected to be; summed over all chunks.
+            tags, count = unpack(b.column("tags")[0].as_py(), True), unpack(b.column("count")[0].as_py())
+            cut = np.append(np.searchsorted(tags, np.arange(SLICES, dtype=np.uint64) * np.uint64(2**64 // SLICES)), len(tags))
+            found = np.flatnonzero(np.diff(cut)).tolist()
+            part = lambda x, ordered=False: pa.array([pack(x[cut[k] : cut[k + 1]], ordered) for k in found], pa.binary())
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(b.column("chunk").to_pylist() * len(found), pa.int64()), "slice": pa.array(found, pa.int32()), "words": part(tags, True), "n": part(count)})
 
-    As many tasks as run at once each send one matrix, so what is shuffled does not grow with the chunks.
-    """
-    height = TEMPLATES * buckets + BLOCK_ROWS
-
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((height, CLASSES))
-        for b in pieces(batches, 1):
-            tags, flat, starts, size, held = _texts(b.to_pylist()[0])
-            own, train = tags[flat], ~np.repeat(held, size)
-            rows, cls = history(own, starts, buckets)[train], (own % CLASSES)[train]
-            if weights is None:
-                for f in rows.T:
-                    total += np.bincount(f * CLASSES + cls, minlength=total.size).reshape(total.shape)
-                total[height - BLOCK_ROWS] += np.bincount(cls, minlength=CLASSES)
-                continue
-            for i in range(0, len(rows), BATCH):
-                r = rows[i : i + BATCH]
-                p = np.exp(class_logs(weights, r))
-                for f in r.T:
-                    order = np.argsort(f, kind="stable")
-                    own = f[order]
-                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    total[own[first]] += np.add.reduceat(p[order], first, axis=0)
-                total[height - BLOCK_ROWS] += p.sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(0, height, BLOCK_ROWS), pa.int32()), "data": pa.array([total[i : i + BLOCK_ROWS].tobytes() for i in range(0, height, BLOCK_ROWS)], pa.binary())})
-
-    def whole(t: pa.Table) -> pa.Table:
-        data = np.sum([np.frombuffer(x) for x in sorted(t.column("data").to_pylist())], axis=0)
-        return pa.table({"block": t.column("block")[:1], "data": pa.array([data.tobytes()], pa.binary())})
-
-    tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
-    out = np.zeros((height, CLASSES))
-    for k, data in texts.coalesce(tasks).mapInArrow(add, "block int, data binary").groupBy("block").applyInArrow(whole, "block int, data binary").collect():
-        out[k : k + BLOCK_ROWS] = np.frombuffer(data).reshape(-1, CLASSES)
-    return out
-
-
-def train(texts: DataFrame, tokens: int) -> np.ndarray:
-    """Class weights by ROUNDS of iterative scaling from a share of each feature's own log odds; every position has TEMPLATES features and the bias."""
-    buckets = buckets_for(tokens)
-    if not tokens:
-        return np.zeros((TEMPLATES * buckets + BLOCK_ROWS, CLASSES), np.float32)
-    met = feature_sums(texts, buckets, None)
-    bias = len(met) - BLOCK_ROWS
-    share = (met[bias] + 1) / (met[bias] + 1).sum()
-    w = 0.6 * (np.log((met + 10 * share) / (met.sum(axis=1, keepdims=True) + 10)) - np.log(share))
-    w[bias], w[bias + 1 :] = np.log(share), 0
-    for _ in range(ROUNDS):
-        w += np.log((met + 1) / (feature_sums(texts, buckets, w.astype(np.float32)) + 1)) / (TEMPLATES + 1)
-    return w.astype(np.float32)
+    return texts.select("chunk", "tags", "count").mapInArrow(run, "chunk bigint, slice int, words binary, n binary")
 
 
 def _added(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,32 +159,290 @@ def _added(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarr
 
 
 def corpus_counts(slices: DataFrame) -> DataFrame:
-    """For each chunk and slice the corpus counts of its words and features, in the order of its arrays, and a row of statistics a slice.
+    """For each chunk and slice the corpus counts of its words, in the order of its arrays; and a row a slice (chunk null) with its words."""
+
+    def add(t: pa.Table) -> pa.Table:
+        raw = {c: t.column(c).to_pylist() for c in ("chunk", "words", "n")}
+        words, n = _added(raw["words"], raw["n"])
+        out = [(None, pack(words, True), pack(n))] + [(c, None, pack(n[np.searchsorted(words, unpack(w, True))])) for c, w in zip(raw["chunk"], raw["words"])]
+        chunk, words_, n_ = zip(*out)
+        return pa.table({"slice": pa.array([t.column("slice")[0].as_py()] * len(out), pa.int32()), "chunk": pa.array(chunk, pa.int64()), "words": pa.array(words_, pa.binary()), "n": pa.array(n_, pa.binary())})
+
+    return slices.groupBy("slice").applyInArrow(add, "slice int, chunk bigint, words binary, n binary")
+
+
+# ---------------------------------------------------------------- classes and leaves
+
+
+@dataclass
+class Tree:
+    """The nested classes: bands of counts, the digits each band has, and its leaves' token totals."""
+
+    step: int  # octaves of a band
+    digits: np.ndarray  # by class
+    vocab: np.ndarray  # distinct words by class
+    leaves: list[np.ndarray]  # by class: tokens of each leaf
+    tokens: int
+    documents: int
+    by_class: np.ndarray | None = None  # tokens by class
+
+    def shares(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """By level the log shares of every node's children (NEVER for a child without words), and by level and class its first node."""
+        share = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-9) / np.maximum(x.sum(axis=-1, keepdims=True), 1e-9)), NEVER).astype(np.float32)
+        known = self.by_class + np.eye(self.classes)[[0, -1]].sum(axis=0)  # places for what was never met
+        out, first = [share(known[None, :])], [np.zeros(self.classes, np.int64)]
+        for k in range(1, int(self.digits.max(initial=0)) + 1):
+            parts = [x.reshape(WIDE ** (k - 1), WIDE, -1).sum(axis=2) if d >= k else np.zeros((0, WIDE)) for x, d in zip(self.leaves, self.digits)]
+            out.append(share(np.concatenate(parts)))
+            first.append(np.cumsum([0] + [len(x) for x in parts[:-1]]))
+        return out, first
+
+    @property
+    def classes(self) -> int:
+        return len(self.digits)
+
+    def class_of(self, tags: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """0: at most once; then bands; the last: the end token."""
+        octave = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
+        c = np.where(n < 2, 0, np.minimum(1 + (octave - 1) // self.step, self.classes - 2))
+        return np.where(tags == np.uint64(tag_of(END)), self.classes - 1, c)
+
+    def log_share(self, tags: np.ndarray, n: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log P(word | leaf): a share of the leaf's tokens; words met once and the place for unknown ones divide class 0."""
+        once, out = float(self.vocab[0]), np.zeros(len(tags))
+        out[cls == 0] = np.where(n[cls == 0] > 0, -math.log(2 * once + 1), math.log((once + 1) / (2 * once + 1)))
+        for c in range(1, self.classes - 1):
+            at = np.flatnonzero(cls == c)
+            leaf = (tags[at] >> np.uint64(64 - 4 * int(self.digits[c]))).astype(np.int64) if self.digits[c] else np.zeros(len(at), np.int64)
+            out[at] = np.log(n[at] / self.leaves[c][leaf])
+        return out
+
+
+def plant(counts: DataFrame) -> Tree:
+    """Bands, digits and leaf totals from the corpus counts (rows of words a slice)."""
+
+    def each(batches: Iterable[pa.RecordBatch], what) -> Iterator[tuple]:
+        for b in pieces(batches, 1):
+            words, n = unpack(b.column("words")[0].as_py(), True), unpack(b.column("n")[0].as_py()).astype(np.int64)
+            yield from what(words, n)
+
+    def octaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(66, np.int64)  # words by octave, then tokens, then end tokens
+
+        def add(words: np.ndarray, n: np.ndarray) -> tuple:
+            end = words == np.uint64(tag_of(END))
+            total[64] += n.sum()
+            total[65] += n[end].sum()
+            n = n[(n > 0) & ~end]
+            total[:64] += np.bincount(np.floor(np.log2(n)).astype(np.int64), minlength=64)
+            return ()
+
+        list(each(batches, add))
+        yield pa.RecordBatch.from_pydict({"octave": pa.array(range(66), pa.int32()), "m": pa.array(total, pa.int64())})
+
+    words = counts.where("chunk is null").select("words", "n")
+    got = np.zeros(66, np.int64)
+    for k, m in words.mapInArrow(octaves, "octave int, m bigint").groupBy("octave").agg(F.sum("m")).collect():
+        got[k] = m
+    by_octave, tokens, documents = got[:64], int(got[64]), int(got[65])
+    top = int(np.flatnonzero(by_octave).max(initial=1))
+    step = -(-top // BANDS)
+    classes = 2 + -(-top // step)
+    vocab = np.zeros(classes, np.int64)
+    vocab[0] = by_octave[0]
+    for o in range(1, top + 1):
+        vocab[1 + (o - 1) // step] += by_octave[o]
+    bits = np.ceil(np.log2(np.maximum(vocab, 1))).astype(int)
+    digits = np.clip(-(-bits // 4) - (bits > 12), 0, DIGITS)
+    digits[[0, -1]] = 0
+    tree = Tree(step, digits, vocab, [np.zeros(1)] * classes, tokens, documents)
+    depth = digits.tolist()
+
+    def totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(words: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+            cls = tree.class_of(words, n)
+            for c in range(1, classes - 1):
+                at = np.flatnonzero(cls == c)
+                if len(at):
+                    leaf = (words[at] >> np.uint64(64 - 4 * depth[c])).astype(np.int64) if depth[c] else np.zeros(len(at), np.int64)
+                    low = leaf.min()
+                    own = np.bincount(leaf - low, weights=n[at])
+                    yield c, int(low), own.astype(np.float64).tobytes()
+
+        rows = list(each(batches, add))
+        yield pa.RecordBatch.from_pydict({"c": pa.array([r[0] for r in rows], pa.int32()), "low": pa.array([r[1] for r in rows], pa.int32()), "own": pa.array([r[2] for r in rows], pa.binary())})
+
+    tree.leaves = [np.zeros(WIDE**d) for d in depth]
+    tree.by_class = np.zeros(classes)
+    for c, low, own in words.mapInArrow(totals, "c int, low int, own binary").collect():  # in all about as many numbers as leaves
+        x = np.frombuffer(own)
+        tree.leaves[c][low : low + len(x)] += x
+        tree.by_class[c] += x.sum()
+    tree.by_class[[0, -1]] = vocab[0], documents
+    return tree
+
+
+# ---------------------------------------------------------------- features and softmaxes
+
+
+class Chunk:
+    """A chunk's texts, words and features; ``part(r)`` are the tokens of one round."""
+
+    def __init__(self, row: dict, tree: Tree, rows: int):
+        self.tree, self.rows = tree, (rows // CLASS_SHARE, rows)
+        self.shares, first = tree.shares()
+        self.tags, self.n = unpack(row["tags"], True), row["n"]
+        self.flat, self.size = _unsqueeze(row["ids"]), unpack(row["size"]).astype(np.int64)
+        self.starts = np.cumsum(self.size) - self.size
+        self.held, self.round = np.frombuffer(row["held"], bool), np.frombuffer(row["round"], np.uint8)
+        self.cls = tree.class_of(self.tags, self.n)
+        self.depth = tree.digits[self.cls].astype(np.int8)
+        low = (self.tags & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.one, self.two = low * np.uint32(0x85EBCA6B) + np.uint32(1), (low ^ (low >> np.uint32(15))) * np.uint32(0xC2B2AE35) + np.uint32(2)
+        high = (self.tags >> np.uint64(48)).astype(np.uint32)
+        self.nodes, self.digit, self.place = [np.uint32(0x27D4EB2F) * np.ones(len(low), np.uint32)], [self.cls], [np.zeros(len(low), np.int64)]
+        for k in range(len(first) - 1):
+            self.place.append(first[k + 1][self.cls] + ((high >> np.uint32(16 - 4 * k)).astype(np.int64) if k else 0))
+            node = (self.cls.astype(np.uint32) << np.uint32(20)) + (np.uint32(1) << np.uint32(4 * k)) + (high >> np.uint32(16 - 4 * k) if k else np.uint32(0))
+            node = (node ^ (node >> np.uint32(13))) * np.uint32(0x846CA68B)
+            self.nodes.append(node ^ (node >> np.uint32(16)))
+            self.digit.append((high >> np.uint32(12 - 4 * k)).astype(np.int64) & 15)
+
+    def part(self, low: int, high: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Word numbers and contexts of the tokens of the texts from ``low`` to ``high``."""
+        starts = self.starts[low:high]
+        a, b = (int(starts[0]), int(starts[-1] + self.size[high - 1])) if high > low else (0, 0)
+        f, at = self.flat[a:b], starts - a
+        one, two = np.zeros(len(f), np.uint32), np.zeros(len(f), np.uint32)
+        one[1:], two[2:] = self.one[f[:-1]], self.two[f[:-2]]
+        one[at], two[at] = 1, 2
+        two[at[at + 1 < len(f)] + 1] = 2
+        both = (one * np.uint32(31) + two) * np.uint32(0x165667B1)
+        return f, [one, two, both ^ (both >> np.uint32(15))]
+
+    def level(self, k: int, f: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """Level k: the positions that have it, their feature rows by template, their digits and their nodes."""
+        at = np.arange(len(f)) if k == 0 else np.flatnonzero(self.depth[f] >= k)
+        own = f[at]
+        node = self.nodes[k][own]
+        shift = np.uint32(33 - self.rows[k > 0].bit_length())
+        return at, [(c[at] ^ node) * _ODD >> shift for c in contexts], self.digit[k][own], self.place[k][own]
+
+
+def log_softmax(shares: np.ndarray, place: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Log probabilities of a batch of positions: the node's shares and a sum of weight rows, normalised."""
+    z = shares.take(place, axis=0)
+    for w, r in zip(weights, rows):
+        z += w.take(r, axis=0)
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
+
+
+
+
+def _batches(n: int) -> Iterator[slice]:
+    return (slice(i, i + BATCH) for i in range(0, n, BATCH))
+
 
-    Of a feature key: its own count, the count of its context and class, and how many keys those have.
+def _whole(row: dict) -> dict:
+    return row | {"n": np.concatenate([unpack(x) for x in row["n"]]).astype(np.int64)}
+
+
+def _squeeze_block(seen: np.ndarray, hoped: np.ndarray) -> bytes:
+    """Whole counts, and the three high bytes of each expected one, as planes of bytes."""
+    rounded = (hoped.view(np.uint32) + np.uint32(128)) >> np.uint32(8)
+    both = np.concatenate([seen.astype(np.uint32).ravel(), rounded.ravel()])
+    return pa.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueeze_block(data: bytes, shape: tuple[int, int]) -> np.ndarray:
+    """(2, *shape): observed and expected counts."""
+    n = shape[0] * shape[1]
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    both = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+    return np.stack([both[:n].astype(np.float64), (both[n:] << np.uint32(8)).view(np.float32).astype(np.float64)]).reshape(2, *shape)
+
+
+def feature_sums(ready: DataFrame, tree: Tree, weights: list[np.ndarray], number: int) -> list[np.ndarray]:
+    """Observed and expected counts of all features over a round's training documents, for each table of weights.
+
+    As many tasks as run at once each send their blocks of rows, so what is shuffled does not grow with the chunks.
     """
+    shapes = [w.shape for w in weights]
 
-    def add(t: pa.Table) -> pa.Table:
-        raw = {c: t.column(c).to_pylist() for c in ("chunk", "words", "word_n", "keys", "key_n")}
-        words, n = _added(raw["words"], raw["word_n"])
-        keys, m = _added(raw["keys"], raw["key_n"])
-        context = keys >> np.uint64(WORD_BITS + 2)
-        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]][: len(keys)])
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-        all_n = np.bincount(group, weights=m, minlength=len(first)).astype(np.int64)
-        kinds = np.bincount(group, weights=m > 0, minlength=len(first)).astype(np.int64)
-        cls, template = (words % np.uint64(CLASSES)).astype(np.int64), (keys & np.uint64(3)).astype(np.int64)
-        by = lambda x, at, size: np.bincount(at, weights=x, minlength=size).tolist()
-        stats = by(n, cls, CLASSES) + by(n > 0, cls, CLASSES) + by(n == 1, cls, CLASSES) + by(m == 1, template, TEMPLATES) + by(m == 2, template, TEMPLATES)
-        out = [(None, None, None, None, None, stats)]
-        for chunk, w, k in zip(raw["chunk"], raw["words"], raw["keys"]):
-            at = np.searchsorted(keys, unpack(k, True))
-            out.append((chunk, pack(n[np.searchsorted(words, unpack(w, True))]), pack(m[at]), pack(all_n[group[at]]), pack(kinds[group[at]]), None))
-        types = [pa.int64(), *[pa.binary()] * 4, pa.list_(pa.float64())]
-        names = ["chunk", "word_n", "key_n", "context_n", "context_kinds", "stats"]
-        return pa.table({"slice": pa.array([t.column("slice")[0].as_py()] * len(out), pa.int32())} | {c: pa.array(x, k) for c, x, k in zip(names, zip(*out), types)})
-
-    return slices.groupBy("slice").applyInArrow(add, "slice int, chunk bigint, word_n binary, key_n binary, context_n binary, context_kinds binary, stats array<double>")
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((*s[:2], 2 * s[2]), np.float32) for s in shapes]
+        for b in pieces(batches, 1):
+            x = Chunk(_whole(b.drop_columns(["id"]).to_pylist()[0]), tree, shapes[1][1])
+            low, high = np.searchsorted(x.round, [number, number + 1]).tolist()
+            f, contexts = x.part(low, high)
+            train = ~np.repeat(x.held[low:high], x.size[low:high])
+            f, contexts = f[train], [c[train] for c in contexts]
+            for k in range(len(x.nodes)):
+                at, features, digit, place = x.level(k, f, contexts)
+                w, own = weights[k > 0], total[k > 0]
+                for part in _batches(len(at)):
+                    rows = [r[part] for r in features]
+                    p = np.exp(log_softmax(x.shares[k], place[part], w, rows))
+                    both = np.concatenate([np.zeros_like(p), p], axis=1)
+                    both[np.arange(len(p)), digit[part]] = 1
+                    for t, r in zip(own, rows):
+                        _add_rows(t, r, both)
+        for k, t in enumerate(total):
+            t, w = t.reshape(-1, t.shape[2]), shapes[k][2]
+            for b in range(0, len(t), BLOCK_ROWS):
+                own = t[b : b + BLOCK_ROWS]
+                if own.any():
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "block": pa.array([b], pa.int32()), "data": pa.array([_squeeze_block(np.ascontiguousarray(own[:, :w]), np.ascontiguousarray(own[:, w:]))], pa.binary())})
+
+    def whole(t: pa.Table) -> pa.Table:
+        k, data = t.column("k")[0].as_py(), t.column("data").to_pylist()
+        both = np.sum([_unsqueeze_block(x, (BLOCK_ROWS, shapes[k][2])) for x in sorted(data)], axis=0)
+        return pa.table({"k": t.column("k")[:1], "block": t.column("block")[:1], "data": pa.array([both.astype(np.float32).tobytes()], pa.binary())})
+
+    out = [np.zeros((2, s[0] * s[1], s[2]), np.float32) for s in shapes]
+    tasks, kind = ready.sparkSession.sparkContext.defaultParallelism, "k int, block int, data binary"
+    for k, b, data in ready.coalesce(tasks).mapInArrow(add, kind).groupBy("k", "block").applyInArrow(whole, kind).toLocalIterator():
+        out[k][:, b : b + BLOCK_ROWS] = np.frombuffer(data, np.float32).reshape(2, BLOCK_ROWS, -1)
+    return [x.reshape(2, *s) for x, s in zip(out, shapes)]
+
+
+def _add_rows(total: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+    rows = rows.astype(np.uint16) if len(total) <= 65536 else rows  # of which numpy sorts by radix
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    total[own[first]] += np.add.reduceat(x.take(order, axis=0), first, axis=0)
+
+
+def updated(w: np.ndarray, sums: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """A step along the gradient, observed less expected counts, over the mean of this round's curvature and all rounds' (``bound``, which grows in place)."""
+    seen, hoped = sums
+    own = 0.5 * (seen + hoped)
+    bound += own
+    return w + np.float32(RATE) * (seen - hoped) / (np.sqrt(own * bound) + np.float32(DAMP))
+
+
+def train(ready: DataFrame, tree: Tree) -> list[np.ndarray]:
+    """Weights of the classes and of the digits after ROUNDS updates."""
+    rows = rows_for(tree.tokens)
+    weights = [np.zeros((TEMPLATES, rows // CLASS_SHARE, tree.classes), np.float32), np.zeros((TEMPLATES, rows, WIDE), np.float32)]
+    bounds = [np.zeros_like(w) for w in weights]
+    for number in range(ROUNDS if tree.tokens else 0):
+        weights = [updated(*x) for x in zip(weights, feature_sums(ready, tree, weights, number), bounds)]
+    return weights
+
+
+def logs(x: Chunk, weights: list[np.ndarray], f: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+    """log P(word | history) of positions of a chunk."""
+    out = x.tree.log_share(x.tags, x.n, x.cls)[f]
+    for k in range(len(x.nodes)):
+        at, features, digit, place = x.level(k, f, contexts)
+        for part in _batches(len(at)):
+            z = log_softmax(x.shares[k], place[part], weights[k > 0], [r[part] for r in features])
+            out[at[part]] += z[np.arange(len(z)), digit[part]]
+    return out
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -304,47 +450,38 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sc
     scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = scratch.save(chunks(docs, id_col=id_col, text_col=text_col))
-    weights = train(texts, texts.agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0])
-    buckets = (len(weights) - BLOCK_ROWS) // TEMPLATES
-    totals = scratch.save(corpus_counts(slices(texts)))
-    stats = np.zeros(3 * CLASSES + 2 * TEMPLATES)
-    for r in totals.where("stats is not null").select("stats").collect():  # a row a slice
-        stats += np.array(r[0])
-    in_class, v_class, once = stats[: 3 * CLASSES].reshape(3, CLASSES)
-    one, two = stats[3 * CLASSES :].reshape(2, TEMPLATES)
-    discount = np.where(one > 0, one / np.maximum(one + 2 * two, 1), 0.5)
-    n_train, v_train = int(in_class.sum()), int(v_class.sum())
-    log_base = math.log10(n_train + v_train + 1)
+    counts = scratch.save(corpus_counts(slices(texts)))
+    tree = plant(counts)
+
+    def give(left: pa.Table, right: pa.Table) -> pa.Table:
+        return left.drop(["count"]).append_column("n", pa.array([right.sort_by("slice").column("n").to_pylist()], pa.list_(pa.binary())))
+
+    kept = [f for f in texts.schema.fields if f.name != "count"]
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    ready = scratch.save(texts.groupBy("chunk").cogroup(counts.where("chunk is not null").groupBy("chunk")).applyInArrow(give, f"{own}, n array<binary>"))
+    scratch.drop(texts)
+    vocab = int(tree.vocab.sum()) + (tree.documents > 0)
+    log_base = math.log10(tree.tokens + vocab + 1)
+    scratch.drop(counts)
+    weights = train(ready, tree)
     out = f"{id_col} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        tags, flat, starts, size, held = _texts(left.to_pylist()[0])
-        right = right.sort_by("slice")
-        whole = lambda c: np.concatenate([unpack(x.as_py()) for x in right.column(c)]).astype(np.float64)
-        total, cls, own = whole("word_n"), tags % CLASSES, tags[flat]
-        p = (np.where(cls == 0, 1.0, np.where(total > 0, total, once[cls] + 1) / (in_class + once + 1)[cls]))[flat]
-        _, at = np.unique(features(own, starts).ravel(), return_inverse=True)
-        n, all_n, kinds = whole("key_n"), whole("context_n"), whole("context_kinds")
-        for d, k in zip(discount, at.reshape(TEMPLATES, -1)):
-            c = all_n[k]
-            p = np.where(c > 0, (np.maximum(n[k] - d, 0) + d * kinds[k] * p) / np.maximum(c, 1), p)
-        log_count, met = np.log10(total + 1.0), total > 0
-        rows, c = history(own, starts, buckets), own % CLASSES
-        by_class = np.empty(len(flat))
-        for i in range(0, len(flat), BATCH):
-            logs = class_logs(weights, rows[i : i + BATCH])
-            by_class[i : i + BATCH] = logs[np.arange(len(logs)), c[i : i + BATCH]]
-        return pa.table(
-            {
-                id_col: left.column(id_col).combine_chunks().flatten(),
-                "held_out": pa.array(held),
-                "n_tokens": pa.array(size, pa.int64()),
-                "n_known": pa.array(np.add.reduceat(met[flat].astype(np.int64), starts), pa.int64()),
-                "train_tokens": pa.array([n_train] * len(size), pa.int64()),
-                "base_score": np.add.reduceat(log_count[flat], starts) - size * log_base,
-                "score": np.add.reduceat(by_class / math.log(10) + np.log10(p), starts),
-            }
-        )
-
-    back = totals.where("chunk is not null").drop("stats")
-    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, out)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            x = Chunk(_whole(b.drop_columns(["id"]).to_pylist()[0]), tree, weights[1].shape[1])
+            f, contexts = x.part(0, len(x.size))
+            by_word = logs(x, weights, f, contexts)
+            known = (x.n > 0)[f]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    id_col: b.column("id").flatten(),
+                    "held_out": pa.array(x.held),
+                    "n_tokens": pa.array(x.size, pa.int64()),
+                    "n_known": pa.array(np.add.reduceat(known.astype(np.int64), x.starts), pa.int64()),
+                    "train_tokens": pa.array([tree.tokens] * len(x.size), pa.int64()),
+                    "base_score": np.add.reduceat(np.log10(x.n + 1.0)[f], x.starts) - x.size * log_base,
+                    "score": np.add.reduceat(by_word, x.starts) / math.log(10),
+                }
+            )
+
+    return ready.mapInArrow(run, out)
