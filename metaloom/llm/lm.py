@@ -1,10 +1,10 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(digit 1 | class, history) * ... * P(word | leaf). The class of a
+P(word | history) = P(class | history) * P(half 1 | class, history) * ... * P(word | leaf). The class of a
 word is the band of its corpus count (one class holds the words met at most once and a place for unknown
-words, one the end token); the digits (base ``WIDE``) of its hash split a class into nested classes, more
-for a band of more words, so that a leaf holds few. Each of these softmaxes starts from its node's share of
-tokens and adds three features, hashed to rows of weights: the node with the last word, with the word
+words, one the end token); the bits of its hash split a class into nested halves, more for a band of more
+words, so that a leaf holds few. Each of these softmaxes (over all classes, then over two halves) starts
+from its node's shares of tokens and adds three hashed features: the node with the last word, with the word
 before it (a skip), and with both. In a leaf a word has its share of the leaf's tokens.
 
 Training: ``ROUNDS`` gradient updates. Documents are dealt to the rounds by a hash of their id; in each
@@ -16,7 +16,7 @@ training token is in one round. Scoring adds rows of weights in sparse numpy bat
 The corpus is read once into chunks of at most ``CHUNK_TOKENS`` tokens (or one text): texts as numbers of
 the chunk's dictionary. Corpus counts of words are added up in ``SLICES`` by hash and go back to the chunks
 that asked: no task holds the corpus dictionary. What is broadcast are the weights, whose rows grow with
-the root of the training tokens (``rows_for``), and the leaves' totals, whose number grows with the
+the cube root of the training tokens (``rows_for``), and the leaves' totals, whose number grows with the
 vocabulary. Words are told apart by 64 bits of hash.
 
 Edge cases: a null or empty text is its end token alone; without training texts every count is zero and
@@ -40,10 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, crc_mod, pieces, strings
 
-ROUNDS, RATE, DAMP = 8, 0.4, 4.0
-WIDE, DIGITS, BANDS, TEMPLATES, NEVER = 16, 4, 14, 3, -1e4
-MIN_ROWS, BLOCK_ROWS, CLASS_SHARE = 4096, 1024, 4  # rows of a template; of a block; how many times fewer the classes have
-CHUNK_TOKENS, BATCH, SLICES = 2_000_000, 32_768, 512
+ROUNDS, RATE, DAMP = 8, 0.4, (4.0, 1.0)  # of classes and of halves
+BANDS, TEMPLATES, NEVER = 14, 3, 30.0
+MIN_ROWS, BLOCK, CLASS_SHARE = 1 << 16, 1 << 15, 32  # weights of a template; of a block; how many times fewer rows the classes have
+CHUNK_TOKENS, BATCH, CLASS_BATCH, SLICES = 2_000_000, 65_536, 8192, 512
 PART_CHUNKS = 4096  # whose arrays of a slice are added up at once
 END = b""
 _ODD = np.uint32(0x9E3779B1)
@@ -54,8 +54,8 @@ def tag_of(word: bytes) -> int:
 
 
 def rows_for(tokens: int) -> int:
-    """Rows of a template's weights: a power of two that grows with the cube root of the training tokens."""
-    return max(MIN_ROWS, 1 << round(math.log2(max(1, tokens)) / 3 + 6.67))
+    """A template's weights of halves: a power of two that grows with the cube root of the training tokens."""
+    return max(MIN_ROWS, 1 << round(math.log2(max(1, tokens)) / 3 + 10))
 
 
 # ---------------------------------------------------------------- packed arrays
@@ -176,30 +176,19 @@ def corpus_counts(slices: DataFrame) -> DataFrame:
 
 @dataclass
 class Tree:
-    """The nested classes: bands of counts, the digits each band has, and its leaves' token totals."""
+    """The nested classes: bands of counts, how many times each is halved, and its leaves' token totals."""
 
     step: int  # octaves of a band
-    digits: np.ndarray  # by class
+    bits: np.ndarray  # halvings by class
     vocab: np.ndarray  # distinct words by class
     leaves: list[np.ndarray]  # by class: tokens of each leaf
+    by_class: np.ndarray  # tokens by class
     tokens: int
     documents: int
-    by_class: np.ndarray | None = None  # tokens by class
-
-    def shares(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """By level the log shares of every node's children (NEVER for a child without words), and by level and class its first node."""
-        share = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-9) / np.maximum(x.sum(axis=-1, keepdims=True), 1e-9)), NEVER).astype(np.float32)
-        known = self.by_class + np.eye(self.classes)[[0, -1]].sum(axis=0)  # places for what was never met
-        out, first = [share(known[None, :])], [np.zeros(self.classes, np.int64)]
-        for k in range(1, int(self.digits.max(initial=0)) + 1):
-            parts = [x.reshape(WIDE ** (k - 1), WIDE, -1).sum(axis=2) if d >= k else np.zeros((0, WIDE)) for x, d in zip(self.leaves, self.digits)]
-            out.append(share(np.concatenate(parts)))
-            first.append(np.cumsum([0] + [len(x) for x in parts[:-1]]))
-        return out, first
 
     @property
     def classes(self) -> int:
-        return len(self.digits)
+        return len(self.bits)
 
     def class_of(self, tags: np.ndarray, n: np.ndarray) -> np.ndarray:
         """0: at most once; then bands; the last: the end token."""
@@ -207,14 +196,34 @@ class Tree:
         c = np.where(n < 2, 0, np.minimum(1 + (octave - 1) // self.step, self.classes - 2))
         return np.where(tags == np.uint64(tag_of(END)), self.classes - 1, c)
 
+    def class_share(self) -> np.ndarray:
+        """Log shares of the classes, with places for what was never met."""
+        known = self.by_class + np.eye(self.classes)[[0, -1]].sum(axis=0)
+        return np.where(known > 0, np.log(np.maximum(known, 1e-9) / known.sum()), -NEVER).astype(np.float32)
+
+    def leaf_of(self, c: int, tags: np.ndarray) -> np.ndarray:
+        return (tags >> np.uint64(64 - int(self.bits[c]))).astype(np.int64) if self.bits[c] else np.zeros(len(tags), np.int64)
+
+    def odds(self, cls: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
+        """For each halving the log odds of the upper half at each word's node (NEVER, up or down, where a half has no words)."""
+        out = [np.zeros(len(tags), np.float32) for _ in range(int(self.bits.max(initial=0)))]
+        for c in range(1, self.classes - 1):
+            at = np.flatnonzero(cls == c)
+            leaf, below = self.leaf_of(c, tags[at]), self.leaves[c]
+            for k in range(int(self.bits[c]) - 1, -1, -1):
+                pair = below.reshape(-1, 2)
+                odds = np.clip(np.log(np.maximum(pair[:, 1], 1e-30)) - np.log(np.maximum(pair[:, 0], 1e-30)), -NEVER, NEVER)
+                leaf = leaf >> 1
+                out[k][at], below = odds[leaf], pair.sum(axis=1)
+        return out
+
     def log_share(self, tags: np.ndarray, n: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """log P(word | leaf): a share of the leaf's tokens; words met once and the place for unknown ones divide class 0."""
         once, out = float(self.vocab[0]), np.zeros(len(tags))
         out[cls == 0] = np.where(n[cls == 0] > 0, -math.log(2 * once + 1), math.log((once + 1) / (2 * once + 1)))
         for c in range(1, self.classes - 1):
             at = np.flatnonzero(cls == c)
-            leaf = (tags[at] >> np.uint64(64 - 4 * int(self.digits[c]))).astype(np.int64) if self.digits[c] else np.zeros(len(at), np.int64)
-            out[at] = np.log(n[at] / self.leaves[c][leaf])
+            out[at] = np.log(n[at] / self.leaves[c][self.leaf_of(c, tags[at])])
         return out
 
 
@@ -252,11 +261,10 @@ def plant(counts: DataFrame) -> Tree:
     vocab[0] = by_octave[0]
     for o in range(1, top + 1):
         vocab[1 + (o - 1) // step] += by_octave[o]
-    bits = np.ceil(np.log2(np.maximum(vocab, 1))).astype(int)
-    digits = np.clip(-(-bits // 4) - (bits > 12), 0, DIGITS)
-    digits[[0, -1]] = 0
-    tree = Tree(step, digits, vocab, [np.zeros(1)] * classes, tokens, documents)
-    depth = digits.tolist()
+    need = np.ceil(np.log2(np.maximum(vocab, 1)))
+    bits = np.where(need <= 10, need, np.ceil(10 + (need - 10) / 3)).astype(int)
+    bits[[0, -1]] = 0
+    tree = Tree(step, bits, vocab, [np.zeros(1 << b) for b in bits], np.zeros(classes), tokens, documents)
 
     def totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def add(words: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
@@ -264,7 +272,7 @@ def plant(counts: DataFrame) -> Tree:
             for c in range(1, classes - 1):
                 at = np.flatnonzero(cls == c)
                 if len(at):
-                    leaf = (words[at] >> np.uint64(64 - 4 * depth[c])).astype(np.int64) if depth[c] else np.zeros(len(at), np.int64)
+                    leaf = tree.leaf_of(c, words[at])
                     low = leaf.min()
                     own = np.bincount(leaf - low, weights=n[at])
                     yield c, int(low), own.astype(np.float64).tobytes()
@@ -272,8 +280,6 @@ def plant(counts: DataFrame) -> Tree:
         rows = list(each(batches, add))
         yield pa.RecordBatch.from_pydict({"c": pa.array([r[0] for r in rows], pa.int32()), "low": pa.array([r[1] for r in rows], pa.int32()), "own": pa.array([r[2] for r in rows], pa.binary())})
 
-    tree.leaves = [np.zeros(WIDE**d) for d in depth]
-    tree.by_class = np.zeros(classes)
     for c, low, own in words.mapInArrow(totals, "c int, low int, own binary").collect():  # in all about as many numbers as leaves
         x = np.frombuffer(own)
         tree.leaves[c][low : low + len(x)] += x
@@ -286,27 +292,24 @@ def plant(counts: DataFrame) -> Tree:
 
 
 class Chunk:
-    """A chunk's texts, words and features; ``part(r)`` are the tokens of one round."""
+    """A chunk's texts, words and features."""
 
     def __init__(self, row: dict, tree: Tree, rows: int):
-        self.tree, self.rows = tree, (rows // CLASS_SHARE, rows)
-        self.shares, first = tree.shares()
-        self.tags, self.n = unpack(row["tags"], True), row["n"]
+        self.tree, self.rows = tree, rows
+        self.tags, self.n = unpack(row["tags"], True), unpack(row["n"]).astype(np.int64)
         self.flat, self.size = _unsqueeze(row["ids"]), unpack(row["size"]).astype(np.int64)
         self.starts = np.cumsum(self.size) - self.size
         self.held, self.round = np.frombuffer(row["held"], bool), np.frombuffer(row["round"], np.uint8)
         self.cls = tree.class_of(self.tags, self.n)
-        self.depth = tree.digits[self.cls].astype(np.int8)
-        low = (self.tags & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.bits, self.odds = tree.bits[self.cls].astype(np.int8), tree.odds(self.cls, self.tags)
+        low, high = (self.tags & np.uint64(0xFFFFFFFF)).astype(np.uint32), (self.tags >> np.uint64(32)).astype(np.uint32)
         self.one, self.two = low * np.uint32(0x85EBCA6B) + np.uint32(1), (low ^ (low >> np.uint32(15))) * np.uint32(0xC2B2AE35) + np.uint32(2)
-        high = (self.tags >> np.uint64(48)).astype(np.uint32)
-        self.nodes, self.digit, self.place = [np.uint32(0x27D4EB2F) * np.ones(len(low), np.uint32)], [self.cls], [np.zeros(len(low), np.int64)]
-        for k in range(len(first) - 1):
-            self.place.append(first[k + 1][self.cls] + ((high >> np.uint32(16 - 4 * k)).astype(np.int64) if k else 0))
-            node = (self.cls.astype(np.uint32) << np.uint32(20)) + (np.uint32(1) << np.uint32(4 * k)) + (high >> np.uint32(16 - 4 * k) if k else np.uint32(0))
-            node = (node ^ (node >> np.uint32(13))) * np.uint32(0x846CA68B)
-            self.nodes.append(node ^ (node >> np.uint32(16)))
-            self.digit.append((high >> np.uint32(12 - 4 * k)).astype(np.int64) & 15)
+        self.nodes, self.upper = [], []
+        for k in range(len(self.odds)):
+            node = (high >> np.uint32(32 - k) if k else np.zeros_like(high)) * np.uint32(0x27D4EB2F) + ((self.cls.astype(np.uint32) << np.uint32(6)) + np.uint32(k)) * np.uint32(0x846CA68B)
+            node = (node ^ (node >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            self.nodes.append(node ^ (node >> np.uint32(13)))
+            self.upper.append((high >> np.uint32(31 - k)).astype(np.uint8) & 1)
 
     def part(self, low: int, high: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Word numbers and contexts of the tokens of the texts from ``low`` to ``high``."""
@@ -320,128 +323,154 @@ class Chunk:
         both = (one * np.uint32(31) + two) * np.uint32(0x165667B1)
         return f, [one, two, both ^ (both >> np.uint32(15))]
 
-    def level(self, k: int, f: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """Level k: the positions that have it, their feature rows by template, their digits and their nodes."""
-        at = np.arange(len(f)) if k == 0 else np.flatnonzero(self.depth[f] >= k)
-        own = f[at]
-        node = self.nodes[k][own]
-        shift = np.uint32(33 - self.rows[k > 0].bit_length())
-        return at, [(c[at] ^ node) * _ODD >> shift for c in contexts], self.digit[k][own], self.place[k][own]
+    def halves(self, f: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """By halving: the positions that have it, their weights' places by template, whether they are in the upper half, and its log odds."""
+        at, shift, bits = np.arange(len(f)), np.uint32(33 - self.rows.bit_length()), self.bits[f]
+        for k in range(len(self.nodes)):
+            more = np.flatnonzero(bits > k)
+            if len(more) < len(bits):
+                at, bits, f, contexts = at[more], bits[more], f[more], [c[more] for c in contexts]
+            if not len(at):
+                return
+            node = self.nodes[k][f]
+            yield at, [(c ^ node) * _ODD >> shift for c in contexts], self.upper[k][f], self.odds[k][f]
 
 
-def log_softmax(shares: np.ndarray, place: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Log probabilities of a batch of positions: the node's shares and a sum of weight rows, normalised."""
-    z = shares.take(place, axis=0)
-    for w, r in zip(weights, rows):
+def class_rows(contexts: list[np.ndarray], rows: int) -> list[np.ndarray]:
+    shift = np.uint32(33 - (rows // CLASS_SHARE).bit_length())
+    return [c * _ODD >> shift for c in contexts]
+
+
+def log_softmax(share: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Log probabilities of the classes for a batch of positions: shares and a sum of weight rows, normalised."""
+    z = weights[0].take(rows[0], axis=0)
+    for w, r in zip(weights[1:], rows[1:]):
         z += w.take(r, axis=0)
-    z -= z.max(axis=1, keepdims=True)
+    z += share
     z -= np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
-
-
-def _batches(n: int) -> Iterator[slice]:
-    return (slice(i, i + BATCH) for i in range(0, n, BATCH))
-
-
-def _whole(row: dict) -> dict:
-    return row | {"n": np.concatenate([unpack(x) for x in row["n"]]).astype(np.int64)}
+def _batches(n: int, size: int) -> Iterator[slice]:
+    return (slice(i, min(n, i + size)) for i in range(0, n, size))
 
 
 def _squeeze_block(seen: np.ndarray, hoped: np.ndarray) -> bytes:
     """Whole counts, and the three high bytes of each expected one, as planes of bytes."""
-    rounded = (hoped.view(np.uint32) + np.uint32(128)) >> np.uint32(8)
-    both = np.concatenate([seen.astype(np.uint32).ravel(), rounded.ravel()])
+    rounded = (hoped.astype(np.float32).view(np.uint32) + np.uint32(128)) >> np.uint32(8)
+    both = np.concatenate([seen.astype(np.uint32), rounded])
     return pa.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unsqueeze_block(data: bytes, shape: tuple[int, int]) -> np.ndarray:
-    """(2, *shape): observed and expected counts."""
-    n = shape[0] * shape[1]
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+def _unsqueeze_block(data: bytes) -> np.ndarray:
+    """(2, BLOCK): observed and expected counts."""
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * BLOCK, codec="zstd", asbytes=True), np.uint8)
     both = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-    return np.stack([both[:n].astype(np.float64), (both[n:] << np.uint32(8)).view(np.float32).astype(np.float64)]).reshape(2, *shape)
+    return np.stack([both[:BLOCK].astype(np.float64), (both[BLOCK:] << np.uint32(8)).view(np.float32).astype(np.float64)])
+
+
+def chunk_sums(x: Chunk, number: int, weights: list[np.ndarray], total: list[np.ndarray]) -> None:
+    """Adds a chunk's sums over its training documents of one round to ``total``: by table of weights, two rows.
+
+    Of classes: observed and expected counts. Of halves: how often the node was met with the feature, and the
+    upper half's observed less expected counts.
+    """
+    low, high = np.searchsorted(x.round, [number, number + 1]).tolist()
+    f, contexts = x.part(low, high)
+    train = ~np.repeat(x.held[low:high], x.size[low:high])
+    f, contexts = f[train], [c[train] for c in contexts]
+    share, cls, width = x.tree.class_share(), x.cls[f], x.tree.classes
+    rows, height = class_rows(contexts, x.rows), weights[0].shape[1]
+    for t, r in enumerate(rows):
+        total[0][0] += np.bincount((r.astype(np.int64) + t * height) * width + cls, minlength=total[0].shape[1])
+    for part in _batches(len(f), BATCH):
+        p = np.empty((part.stop - part.start, width), np.float32)
+        for q in _batches(len(p), CLASS_BATCH):
+            p[q] = np.exp(log_softmax(share, weights[0], [r[part][q] for r in rows]))
+        for t, r in enumerate(rows):
+            at = ((r[part].astype(np.int64) + t * height) * width)[:, None] + np.arange(width)
+            total[0][1] += np.bincount(at.ravel(), p.ravel(), total[0].shape[1])
+        places, left = [], []
+        for _, features, up, z in x.halves(f[part], [c[part] for c in contexts]):
+            for w, r in zip(weights[1], features):
+                z = z + w[r]
+            places += [r + np.uint32(t * x.rows) for t, r in enumerate(features)]
+            left += [up - 1 / (1 + np.exp(-z))] * TEMPLATES
+        if places:
+            at = np.concatenate(places).astype(np.int64)
+            total[1][0] += np.bincount(at, minlength=total[1].shape[1])
+            total[1][1] += np.bincount(at, np.concatenate(left), total[1].shape[1])
 
 
 def feature_sums(ready: DataFrame, tree: Tree, weights: list[np.ndarray], number: int) -> list[np.ndarray]:
-    """Observed and expected counts of all features over a round's training documents, for each table of weights.
+    """``chunk_sums`` of the whole corpus, for each table of weights (2, *its shape).
 
-    As many tasks as run at once each send their blocks of rows, so what is shuffled does not grow with the chunks.
+    As many tasks as run at once each send their blocks, so what is shuffled does not grow with the chunks;
+    chunks reach Python one at a time, so memory does not either.
     """
-    shapes = [w.shape for w in weights]
+    shapes, rows = [w.shape for w in weights], weights[1].shape[1]
+    length = [-(-w.size // BLOCK) * BLOCK for w in weights]
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros((*s[:2], 2 * s[2]), np.float32) for s in shapes]
+        total = [np.zeros((2, n)) for n in length]
         for b in pieces(batches, 1):
-            x = Chunk(_whole(b.drop_columns(["id"]).to_pylist()[0]), tree, shapes[1][1])
-            low, high = np.searchsorted(x.round, [number, number + 1]).tolist()
-            f, contexts = x.part(low, high)
-            train = ~np.repeat(x.held[low:high], x.size[low:high])
-            f, contexts = f[train], [c[train] for c in contexts]
-            for k in range(len(x.nodes)):
-                at, features, digit, place = x.level(k, f, contexts)
-                w, own = weights[k > 0], total[k > 0]
-                for part in _batches(len(at)):
-                    rows = [r[part] for r in features]
-                    p = np.exp(log_softmax(x.shares[k], place[part], w, rows))
-                    both = np.concatenate([np.zeros_like(p), p], axis=1)
-                    both[np.arange(len(p)), digit[part]] = 1
-                    for t, r in zip(own, rows):
-                        _add_rows(t, r, both)
+            chunk_sums(Chunk(b.to_pylist()[0], tree, rows), number, weights, total)
         for k, t in enumerate(total):
-            t, w = t.reshape(-1, t.shape[2]), shapes[k][2]
-            for b in range(0, len(t), BLOCK_ROWS):
-                own = t[b : b + BLOCK_ROWS]
-                if own.any():
-                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "block": pa.array([b], pa.int32()), "data": pa.array([_squeeze_block(np.ascontiguousarray(own[:, :w]), np.ascontiguousarray(own[:, w:]))], pa.binary())})
+            for b in range(0, length[k], BLOCK):
+                if t[0, b : b + BLOCK].any() or t[1, b : b + BLOCK].any():
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "block": pa.array([b], pa.int32()), "data": pa.array([_squeeze_block(*t[:, b : b + BLOCK])], pa.binary())})
 
     def whole(t: pa.Table) -> pa.Table:
-        k, data = t.column("k")[0].as_py(), t.column("data").to_pylist()
-        both = np.sum([_unsqueeze_block(x, (BLOCK_ROWS, shapes[k][2])) for x in sorted(data)], axis=0)
+        both = np.sum([_unsqueeze_block(x) for x in sorted(t.column("data").to_pylist())], axis=0)
         return pa.table({"k": t.column("k")[:1], "block": t.column("block")[:1], "data": pa.array([both.astype(np.float32).tobytes()], pa.binary())})
 
-    out = [np.zeros((2, s[0] * s[1], s[2]), np.float32) for s in shapes]
+    out = [np.zeros((2, n), np.float32) for n in length]
     tasks, kind = ready.sparkSession.sparkContext.defaultParallelism, "k int, block int, data binary"
-    for k, b, data in ready.coalesce(tasks).mapInArrow(add, kind).groupBy("k", "block").applyInArrow(whole, kind).toLocalIterator():
-        out[k][:, b : b + BLOCK_ROWS] = np.frombuffer(data, np.float32).reshape(2, BLOCK_ROWS, -1)
-    return [x.reshape(2, *s) for x, s in zip(out, shapes)]
-
-
-def _add_rows(total: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
-    rows = rows.astype(np.uint16) if len(total) <= 65536 else rows  # of which numpy sorts by radix
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
-    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    total[own[first]] += np.add.reduceat(x.take(order, axis=0), first, axis=0)
-
-
-def updated(w: np.ndarray, sums: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """A step along the gradient, observed less expected counts, over the mean of this round's curvature and all rounds' (``bound``, which grows in place)."""
-    seen, hoped = sums
-    own = 0.5 * (seen + hoped)
-    bound += own
-    return w + np.float32(RATE) * (seen - hoped) / (np.sqrt(own * bound) + np.float32(DAMP))
+    conf, rows_at_once = ready.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(rows_at_once)
+    conf.set(rows_at_once, "1")
+    try:
+        own = ready.drop("id").coalesce(tasks).mapInArrow(add, kind)
+        for k, b, data in own.groupBy("k", "block").applyInArrow(whole, kind).toLocalIterator():
+            out[k][:, b : b + BLOCK] = np.frombuffer(data, np.float32).reshape(2, BLOCK)
+    finally:
+        conf.set(rows_at_once, before)
+    return [x[:, : math.prod(s)].reshape(2, *s) for x, s in zip(out, shapes)]
+
+
+def updated(weights: list[np.ndarray], sums: list[np.ndarray], bounds: list[np.ndarray]) -> list[np.ndarray]:
+    """A step along the gradient, over the mean of this round's curvature bound and all rounds' (``bounds``, which grow in place)."""
+    (seen, hoped), (met, up) = sums
+    out = []
+    for w, down, own, bound, damp in zip(weights, (seen - hoped, up), (0.5 * (seen + hoped), met / 4), bounds, DAMP):
+        bound += own
+        out.append(w + np.float32(RATE) * down / (np.sqrt(own * bound) + np.float32(damp)))
+    return out
 
 
 def train(ready: DataFrame, tree: Tree) -> list[np.ndarray]:
-    """Weights of the classes and of the digits after ROUNDS updates."""
+    """Weights of the classes and of the halves after ROUNDS updates."""
     rows = rows_for(tree.tokens)
-    weights = [np.zeros((TEMPLATES, rows // CLASS_SHARE, tree.classes), np.float32), np.zeros((TEMPLATES, rows, WIDE), np.float32)]
+    weights = [np.zeros((TEMPLATES, rows // CLASS_SHARE, tree.classes), np.float32), np.zeros((TEMPLATES, rows), np.float32)]
     bounds = [np.zeros_like(w) for w in weights]
     for number in range(ROUNDS if tree.tokens else 0):
-        weights = [updated(*x) for x in zip(weights, feature_sums(ready, tree, weights, number), bounds)]
+        weights = updated(weights, feature_sums(ready, tree, weights, number), bounds)
     return weights
 
 
 def logs(x: Chunk, weights: list[np.ndarray], f: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
     """log P(word | history) of positions of a chunk."""
     out = x.tree.log_share(x.tags, x.n, x.cls)[f]
-    for k in range(len(x.nodes)):
-        at, features, digit, place = x.level(k, f, contexts)
-        for part in _batches(len(at)):
-            z = log_softmax(x.shares[k], place[part], weights[k > 0], [r[part] for r in features])
-            out[at[part]] += z[np.arange(len(z)), digit[part]]
+    share, rows, cls = x.tree.class_share(), class_rows(contexts, x.rows), x.cls[f]
+    for part in _batches(len(f), CLASS_BATCH):
+        z = log_softmax(share, weights[0], [r[part] for r in rows])
+        out[part] += z[np.arange(len(z)), cls[part]]
+    for part in _batches(len(f), BATCH):
+        own = out[part]
+        for at, features, up, z in x.halves(f[part], [c[part] for c in contexts]):
+            for w, r in zip(weights[1], features):
+                z = z + w[r]
+            own[at] -= np.logaddexp(0, np.where(up, -z, z))
     return out
 
 
@@ -454,11 +483,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sc
     tree = plant(counts)
 
     def give(left: pa.Table, right: pa.Table) -> pa.Table:
-        return left.drop(["count"]).append_column("n", pa.array([right.sort_by("slice").column("n").to_pylist()], pa.list_(pa.binary())))
+        n = np.concatenate([unpack(x.as_py()) for x in right.sort_by("slice").column("n")])
+        return left.drop(["count"]).append_column("n", pa.array([pack(n)], pa.binary()))
 
     kept = [f for f in texts.schema.fields if f.name != "count"]
     own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    ready = scratch.save(texts.groupBy("chunk").cogroup(counts.where("chunk is not null").groupBy("chunk")).applyInArrow(give, f"{own}, n array<binary>"))
+    ready = scratch.save(texts.groupBy("chunk").cogroup(counts.where("chunk is not null").groupBy("chunk")).applyInArrow(give, f"{own}, n binary"))
     scratch.drop(texts)
     vocab = int(tree.vocab.sum()) + (tree.documents > 0)
     log_base = math.log10(tree.tokens + vocab + 1)
@@ -468,7 +498,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sc
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
-            x = Chunk(_whole(b.drop_columns(["id"]).to_pylist()[0]), tree, weights[1].shape[1])
+            x = Chunk(b.drop_columns(["id"]).to_pylist()[0], tree, weights[1].shape[1])
             f, contexts = x.part(0, len(x.size))
             by_word = logs(x, weights, f, contexts)
             known = (x.n > 0)[f]
