@@ -43,7 +43,7 @@ from .common import Scratch, crc_mod, pieces, strings
 ROUNDS, RATE, DAMP = 8, 0.4, (4.0, 1.0)  # of classes and of halves
 BANDS, TEMPLATES, NEVER = 14, 3, 30.0
 MIN_ROWS, BLOCK, CLASS_SHARE = 1 << 16, 1 << 15, 32  # weights of a template; of a block; how many times fewer rows the classes have
-CHUNK_TOKENS, BATCH, CLASS_BATCH, SLICES = 2_000_000, 65_536, 8192, 512
+CHUNK_TOKENS, PART_TOKENS, BATCH, CLASS_BATCH, SLICES = 1_000_000, 250_000, 65_536, 8192, 512
 PART_CHUNKS = 4096  # whose arrays of a slice are added up at once
 END = b""
 _ODD = np.uint32(0x9E3779B1)
@@ -55,7 +55,7 @@ def tag_of(word: bytes) -> int:
 
 def rows_for(tokens: int) -> int:
     """A template's weights of halves: a power of two that grows with the cube root of the training tokens."""
-    return max(MIN_ROWS, 1 << round(math.log2(max(1, tokens)) / 3 + 10))
+    return max(MIN_ROWS, 1 << round(math.log2(max(1, tokens)) / 3 + 9))
 
 
 # ---------------------------------------------------------------- packed arrays
@@ -262,7 +262,7 @@ def plant(counts: DataFrame) -> Tree:
     for o in range(1, top + 1):
         vocab[1 + (o - 1) // step] += by_octave[o]
     need = np.ceil(np.log2(np.maximum(vocab, 1)))
-    bits = np.where(need <= 10, need, np.ceil(10 + (need - 10) / 3)).astype(int)
+    bits = np.where(need <= 8, need, np.ceil(8 + (need - 8) / 3)).astype(int)
     bits[[0, -1]] = 0
     tree = Tree(step, bits, vocab, [np.zeros(1 << b) for b in bits], np.zeros(classes), tokens, documents)
 
@@ -381,25 +381,28 @@ def chunk_sums(x: Chunk, number: int, weights: list[np.ndarray], total: list[np.
     f, contexts = f[train], [c[train] for c in contexts]
     share, cls, width = x.tree.class_share(), x.cls[f], x.tree.classes
     rows, height = class_rows(contexts, x.rows), weights[0].shape[1]
+    own = [t[:, : w.size].reshape(2, TEMPLATES, -1) for t, w in zip(total, weights)]  # views
     for t, r in enumerate(rows):
-        total[0][0] += np.bincount((r.astype(np.int64) + t * height) * width + cls, minlength=total[0].shape[1])
+        own[0][0, t] += np.bincount(r.astype(np.int64) * width + cls, minlength=height * width)
     for part in _batches(len(f), BATCH):
-        p = np.empty((part.stop - part.start, width), np.float32)
+        p = np.empty((part.stop - part.start, width))
         for q in _batches(len(p), CLASS_BATCH):
             p[q] = np.exp(log_softmax(share, weights[0], [r[part][q] for r in rows]))
         for t, r in enumerate(rows):
-            at = ((r[part].astype(np.int64) + t * height) * width)[:, None] + np.arange(width)
-            total[0][1] += np.bincount(at.ravel(), p.ravel(), total[0].shape[1])
+            at = (r[part].astype(np.int64) * width)[:, None] + np.arange(width)
+            own[0][1, t] += np.bincount(at.ravel(), p.ravel(), height * width)
         places, left = [], []
         for _, features, up, z in x.halves(f[part], [c[part] for c in contexts]):
             for w, r in zip(weights[1], features):
                 z = z + w[r]
-            places += [r + np.uint32(t * x.rows) for t, r in enumerate(features)]
-            left += [up - 1 / (1 + np.exp(-z))] * TEMPLATES
+            places.append(features)
+            left.append(up - 1 / (1 + np.exp(-z)))
         if places:
-            at = np.concatenate(places).astype(np.int64)
-            total[1][0] += np.bincount(at, minlength=total[1].shape[1])
-            total[1][1] += np.bincount(at, np.concatenate(left), total[1].shape[1])
+            rest = np.concatenate(left).astype(np.float64)
+            for t, features in enumerate(zip(*places)):
+                at = np.concatenate(features).astype(np.int64)
+                own[1][0, t] += np.bincount(at, minlength=x.rows)
+                own[1][1, t] += np.bincount(at, rest, x.rows)
 
 
 def feature_sums(ready: DataFrame, tree: Tree, weights: list[np.ndarray], number: int) -> list[np.ndarray]:
@@ -499,18 +502,22 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
             x = Chunk(b.drop_columns(["id"]).to_pylist()[0], tree, weights[1].shape[1])
-            f, contexts = x.part(0, len(x.size))
-            by_word = logs(x, weights, f, contexts)
-            known = (x.n > 0)[f]
+            got = np.zeros((3, len(x.size)))  # known tokens, base and score
+            known, base = (x.n > 0).astype(np.int64), np.log10(x.n + 1.0)
+            cut = np.flatnonzero(np.diff(x.starts // PART_TOKENS, prepend=-1)).tolist() + [len(x.size)]
+            for low, high in zip(cut, cut[1:]):
+                f, contexts = x.part(low, high)
+                at = x.starts[low:high] - x.starts[low]
+                got[:, low:high] = [np.add.reduceat(v, at) for v in (known[f], base[f], logs(x, weights, f, contexts))]
             yield pa.RecordBatch.from_pydict(
                 {
                     id_col: b.column("id").flatten(),
                     "held_out": pa.array(x.held),
                     "n_tokens": pa.array(x.size, pa.int64()),
-                    "n_known": pa.array(np.add.reduceat(known.astype(np.int64), x.starts), pa.int64()),
+                    "n_known": pa.array(got[0].astype(np.int64)),
                     "train_tokens": pa.array([tree.tokens] * len(x.size), pa.int64()),
-                    "base_score": np.add.reduceat(np.log10(x.n + 1.0)[f], x.starts) - x.size * log_base,
-                    "score": np.add.reduceat(by_word, x.starts) / math.log(10),
+                    "base_score": got[1] - x.size * log_base,
+                    "score": got[2] / math.log(10),
                 }
             )
 
