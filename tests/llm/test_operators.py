@@ -121,27 +121,36 @@ def test_links_of_planted_fingerprints(spark):
             rows.append((int(f) ^ flip, n))
             n += 1
     unique = dict(rows)
-    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, r) for f, r in unique.items()], "fp long, rep long")
-    scratch = common.Scratch(spark)
-    comp = {r.v: r.p for r in components.components(scratch.save(simhash.links(df)), scratch).collect()}
+    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, r, 0) for f, r in unique.items()], "fp long, doc_id long, hash long")
+    comp = {r.fp % 2**64: r.best.id for r in simhash.classes(df, "doc_id", 2, common.Scratch(spark)).collect()}
     items = sorted((r, f) for f, r in unique.items())
     want = brute_components([r for r, _ in items], [f for _, f in items], 2)
-    assert [comp.get(r, r) for r, _ in items] == want
+    assert [comp[f] for _, f in items] == want
 
 
-def test_large_partitions_look_up_exactly():
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    values = {"a": 0, "b": 3, "c": 15, "d": 255 << 8, "e": 255 << 20}
+    monkeypatch.setattr(simhash, "fingerprint", lambda t, words=3: values[t])
+    rows = [(5, "a"), (None, "b"), (8, "c"), (None, "d"), (None, "d"), (9, "e")]
+    own = spark.createDataFrame([(i, hash(t) % 99, values[t]) for i, t in rows], "doc_id long, hash long, fp long")
+    got = {r.fp: r.best.id for r in simhash.classes(own, "doc_id", 2, common.Scratch(spark)).collect()}
+    assert got == {0: 5, 3: 5, 15: 5, 255 << 8: None, 255 << 20: 9}
+
+
+def test_partitions_of_every_size_go_by_the_pivot_table():
     mask = simhash.masks(2)[0]
     free = [i for i in range(64) if not mask >> i & 1]
     rng = np.random.default_rng(1)
-    fp = np.unique(np.array([sum(1 << free[int(b)] for b in rng.choice(14, rng.integers(0, 9), replace=False)) for _ in range(4000)], np.uint64))
-    assert len(fp) > simhash.PAIRS_UP_TO
-    a, b = simhash.close_pairs(fp, 2, simhash.pivots(), mask)
-    got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+    fp = np.unique(np.array([sum(1 << free[int(b)] for b in rng.choice(16, rng.integers(0, 9), replace=False)) for _ in range(4000)], np.uint64))
+    assert len(fp) ** 2 > 50 * simhash.PAIRS
     want = {(i, int(j)) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 2) + i + 1}
-    assert got == want
-    few = fp[:900]
-    a, b = simhash.close_pairs(few, 2, simhash.pivots(), mask)
-    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} == {(i, j) for i, j in want if j < 900}
+    for n in (1, 2, 200, 900, len(fp)):
+        a, b = simhash.close_pairs(fp[:n], 2, simhash.pivots())
+        got = [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())]
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in want if j < n}
+    ball = np.array([0] + [1 << i for i in range(64)], np.uint64)
+    far = np.concatenate([ball, ~ball])
+    assert len(simhash.close_pairs(far, 2, simhash.pivots())[0]) == 2 * 65 * 64 // 2
 
 
 def test_long_chains_are_one_component(spark):
@@ -154,8 +163,18 @@ def test_simhash_of_an_empty_table_and_deduplication(spark, docs):
     assert simhash.near_duplicates(empty(spark)).collect() == []
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in texts_of(docs) if i is None or groups[i] == i)
+    rows = texts_of(docs)
+    groups = {}
+    for (i, t), c in zip(rows, brute_components(list(range(len(rows))), [brute_fingerprint(t) for _, t in rows], 2)):
+        groups.setdefault(c, []).append((i is None, i if i is not None else 0))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(min(g)[1] if not min(g)[0] else None for g in groups.values())
+
+
+def test_deduplication_keeps_one_row_of_each_group(spark):
+    a, b, c = "one two three four", "completely other words here", "a third text of its own"
+    rows = [(3, a), (7, a), (7, b), (None, a), (None, c), (None, c), (9, b), (11, None), (12, ""), (3, a), (3, a)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS hash", "2 AS kept_id", "3 AS fp"))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(3, a), (7, b), (None, c), (11, None)])
 
 
 # ---------------------------------------------------------------- decontamination
@@ -421,6 +440,40 @@ def test_main_text_keeps_short_and_linked_parts_of_the_text():
     assert html.main_text(page.format(f"<p>{long}</p><div class='ad'>Buy</div><div><p>Short.</p></div><div class='ad'>Buy</div><p>{long}</p>")) == f"{long}Short. {long}".strip()
 
 
+LONG = ("word " * 60).strip()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><h1><a>Headline</a></h1><p>Body {LONG}</p></article>", f"Headline Body {LONG}"),
+        (f"<article><p>{LONG}</p><ul><li><a>a</a><li><a>b</a><li><a>c</a><li><a>d</a></ul><p>{LONG}</p></article>", f"{LONG} a b c d {LONG}"),
+        (f"<body><div class=post><p>A first paragraph.</p><nav>x</nav><p>{LONG}</p></div></body>", f"A first paragraph. {LONG}"),
+        (f'<article><p>{LONG}</p><section id="related-work"><p>{LONG} again</p></section><p>end</p></article>', f"{LONG} {LONG} again end"),
+        (f'<article><p>{LONG}</p><div class="related"><ul><li><a>some other text</a><li><a>more</a></ul></div><p>end</p></article>', f"{LONG} end"),
+        (f'<body><div class="post"><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><article><h2><a href=x>teaser head line</a></h2><p>short.</p></article></body>', f"T {LONG} {LONG}"),
+        (f"<body><article><p>{LONG}</p></article><article><h2>b</h2><p>short text.</p></article></body>", f"{LONG} b short text."),
+        ("<article><p><a href=x>all links</a></p></article>", "all links"),
+        (f'<body><div class="header-wrap"><article><p>{LONG}</p></article></div><div class="share"><a>x</a></div></body>', LONG),
+    ],
+)
+def test_density_decides_and_names_are_hints(page, want):
+    assert html.main_text(page) == want
+
+
+def test_pages_without_names_or_article_tags(spark, sf, monkeypatch):
+    """The same text by density where class names say nothing, and where no tag marks the article."""
+    import html as H
+
+    for (page,) in common.table(spark, sf, "pages").select("html").collect():
+        own = page.split("<article>")[1].split("</article>")[0]
+        want = " ".join(H.unescape(re.sub(r"</?(p|h1|br)>", " ", re.sub(r"</?b>", "", own))).split())
+        assert html.main_text(page.replace("article>", "div>")) == want
+        with monkeypatch.context() as m:
+            m.setattr(html, "_NOISE", re.compile("(?!)"))
+            assert len(want) < 300 or html.main_text(page) == want  # an advert may be denser than a short article
+
+
 def test_pages_of_the_table(spark, sf):
     import html as H
 
