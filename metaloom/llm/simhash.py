@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, pieces, strings
 from .components import components
 
-BLOCKS, PIVOTS, PAIRS = 6, 24, 1 << 16
+BLOCKS, PIVOTS, PAIRS, MERGE = 6, 24, 1 << 16, 1 << 20  # pairs compared and merged at once
 SEED = 42
 
 
@@ -74,9 +74,9 @@ def pivot_table(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def close_pairs(fp: np.ndarray, max_bits: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of distinct fingerprints at most ``max_bits`` apart."""
-    table, left, right = pivot_table(fp, refs), [], []
+def close_pairs(fp: np.ndarray, max_bits: int, refs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of distinct fingerprints at most ``max_bits`` apart, in batches of at most ``PAIRS``."""
+    table = pivot_table(fp, refs)
     todo: list[tuple[np.ndarray, np.ndarray | None]] = [(np.arange(len(fp)), None)]  # rows against themselves, or against others
     while todo:
         a, b = todo.pop()
@@ -90,9 +90,8 @@ def close_pairs(fp: np.ndarray, max_bits: int, refs: np.ndarray) -> tuple[np.nda
             x, y = _survivors(table, own, a if b is None else b, max_bits)
             near = np.bitwise_count(fp[x] ^ fp[y]) <= max_bits
             near &= (x < y) if b is None else True
-            left.append(x[near])
-            right.append(y[near])
-    return np.concatenate(left), np.concatenate(right)
+            if near.any():
+                yield x[near], y[near]
 
 
 def _survivors(table: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +121,11 @@ def _cut(table: np.ndarray, a: np.ndarray, b: np.ndarray | None, max_bits: int)
     return [(x, y) for x, y in parts if len(x) and (y is None or len(y))]
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    root = np.arange(n)
+def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of everyone's component once a and b are linked; ``root`` is that of the links so far."""
+    a, b = root[a], root[b]
+    apart = a != b
+    a, b = a[apart], b[apart]
     while len(a):
         low = np.minimum(root[a], root[b])
         before = root.copy()
@@ -136,6 +138,17 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def roots(fp: np.ndarray, max_bits: int, refs: np.ndarray) -> np.ndarray:
+    """For each fingerprint the place of the first one of its component; links are merged as they come."""
+    root, held, n = np.arange(len(fp)), [], 0
+    for pair in close_pairs(fp, max_bits, refs):
+        held.append(pair)
+        n += len(pair[0])
+        if n >= MERGE:
+            root, held, n = _merge(root, *map(np.concatenate, zip(*held))), [], 0
+    return _merge(root, *map(np.concatenate, zip(*held))) if held else root
+
+
 def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     """distinct(fp) to (a, b): linked fingerprints, as a tree for each candidate partition."""
     bands = masks(max_bits)
@@ -144,14 +157,13 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     refs = pivots()
 
     def tree(fp: np.ndarray, out: list) -> None:
-        a, b = close_pairs(fp.view(np.uint64), max_bits, refs)
-        if not len(a):
-            return
-        root = _local_roots(len(fp), a, b)
+        root = roots(fp.view(np.uint64), max_bits, refs)
         order = np.argsort(root, kind="stable")
         first = np.searchsorted(root[order], root[order])
         at = np.arange(len(order)) - first
         child = np.flatnonzero(at > 0)
+        if not len(child):
+            return
         out.append((fp[order[first[child] + (at[child] - 1) // 2]], fp[order[child]]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

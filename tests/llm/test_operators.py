@@ -137,20 +137,22 @@ def test_rows_without_an_id_link_others(spark, monkeypatch):
     assert got == {0: 5, 3: 5, 15: 5, 255 << 8: None, 255 << 20: 9}
 
 
-def test_partitions_of_every_size_go_by_the_pivot_table():
+def test_partitions_of_every_size_go_by_the_pivot_table(monkeypatch):
     mask = simhash.masks(2)[0]
     free = [i for i in range(64) if not mask >> i & 1]
     rng = np.random.default_rng(1)
-    fp = np.unique(np.array([sum(1 << free[int(b)] for b in rng.choice(16, rng.integers(0, 9), replace=False)) for _ in range(4000)], np.uint64))
+    fp = np.unique(np.array([sum(1 << free[int(b)] for b in rng.choice(16, rng.integers(0, 9), replace=False)) for _ in range(3000)], np.uint64))
     assert len(fp) ** 2 > 50 * simhash.PAIRS
     want = {(i, int(j)) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 2) + i + 1}
     for n in (1, 2, 200, 900, len(fp)):
-        a, b = simhash.close_pairs(fp[:n], 2, simhash.pivots())
-        got = [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())]
+        got = [tuple(sorted(p)) for a, b in simhash.close_pairs(fp[:n], 2, simhash.pivots()) for p in zip(a.tolist(), b.tolist())]
         assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in want if j < n}
     ball = np.array([0] + [1 << i for i in range(64)], np.uint64)
     far = np.concatenate([ball, ~ball])
-    assert len(simhash.close_pairs(far, 2, simhash.pivots())[0]) == 2 * 65 * 64 // 2
+    assert sum(len(a) for a, _ in simhash.close_pairs(far, 2, simhash.pivots())) == 2 * 65 * 64 // 2
+    assert simhash.roots(far, 2, simhash.pivots()).tolist() == [0] * 65 + [65] * 65
+    monkeypatch.setattr(simhash, "MERGE", 100)
+    assert simhash.roots(fp, 2, simhash.pivots()).tolist() == brute_components(list(range(len(fp))), fp.tolist(), 2)
 
 
 def test_long_chains_are_one_component(spark):
