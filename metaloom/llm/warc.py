@@ -5,11 +5,14 @@ least ``min_payload`` bytes are one response (the smallest id) and revisits that
 Reader: incremental zlib decompression member by member, Content-Length framing, and verification of the
 SHA-1 digests; a record whose frame or digest is wrong raises ValueError.
 
-Archives are rows of (archive, seq, data binary): bounded pieces of a .warc.gz stream in a table of the
-shared folder, so that any file system Spark writes will do; ``export_files`` puts them together as files.
-
-Edge cases: null payload: empty; null id: a response of its own that no record refers to; rows that repeat
-an id and its payload are all responses; an empty table gives no archive.
+Archives are rows of (archive, data binary) of about ``archive_bytes``, each a .warc.gz stream of its own, in
+a table of the shared folder, so that any file system Spark writes will do; ``export_files`` writes files.
+The reader feeds a stream to zlib in chunks of ``CHUNK`` bytes, so its time is linear in the archive and it
+holds one record at a time; records leave in batches of bounded size.
+
+Edge cases: null payload: empty; a null id is a revisit of an equal payload with an id, else a response that
+no record refers to; rows that repeat the smallest id of a payload are all responses; an empty table gives
+no archive; ids are of any type that JSON text can carry and a cast reads back.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, pieces
 
-ARCHIVE_BYTES = 4 << 20
+ARCHIVE_BYTES, CHUNK, BATCH_BYTES = 4 << 20, 1 << 16, 16 << 20
 _DATE = "2020-01-01T00:00:00Z"
 
 
@@ -74,13 +77,18 @@ def members(chunks: Iterable[bytes]) -> Iterator[bytes]:
             out.append(z.decompress(data))
             begun, data = True, b""
             if z.eof:
-                data = z.unused_data
+                data = z.unused_data  # at most a chunk
                 yield b"".join(out)
                 z, out, begun = zlib.decompressobj(31), [], False
     if begun:
         raise ValueError("the archive ends inside a record")
 
 
+def chunked(data: bytes) -> Iterator[bytes]:
+    view = memoryview(data)
+    return (bytes(view[i : i + CHUNK]) for i in range(0, len(view), CHUNK))
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
     """Header fields, block and payload of one record; frame and digests are verified."""
     head, found, rest = raw.partition(b"\r\n\r\n")
@@ -104,51 +112,55 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", uri_col: str =
     """Writes a record per row; returns the archives as rows (archive, seq, data), stored in the shared folder."""
     scratch = scratch or Scratch(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("k"), F.col(uri_col).alias("u"), F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b"")).alias("p"))
-    keyed = scratch.save(rows.select("k", F.sha1("p").alias("d"), F.length("p").alias("n")))
-    first = keyed.where(F.col("k").isNotNull() & (F.col("n") >= min_payload)).groupBy("d").agg(F.min("k").alias("r"), F.count("k").alias("c")).where("c > 1").select("d", "r")
-    first = scratch.save(first)
-    refers = scratch.save(keyed.where(F.col("k").isNotNull() & (F.col("n") >= min_payload)).join(first, "d").where("k <> r").select("k", "d", "r").dropDuplicates(["k", "d"]))
-    marked = rows.withColumn("d", F.sha1("p")).join(refers, ["k", "d"], "left").select("k", "u", "p", "r")
+    keyed = scratch.save(rows.where(F.length("p") >= min_payload).select("k", F.sha1("p").alias("d")))
+    first = scratch.save(keyed.groupBy("d").agg(F.min("k").alias("r"), F.count("*").alias("c")).where("c > 1 and r is not null").select("d", "r"))
+    refers = scratch.save(keyed.join(first, "d").where("k is null or k <> r").dropDuplicates(["k", "d"]).select(F.col("k").alias("rk"), F.col("d").alias("rd"), "r"))
+    marked = rows.withColumn("d", F.sha1("p")).join(refers, F.col("k").eqNullSafe(F.col("rk")) & (F.col("d") == F.col("rd")), "left").select("k", "u", "p", "r")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, seq, held, size = uuid.uuid4().hex, 0, [], 0
+        name, held, size = uuid.uuid4().hex, [], 0
         for b in pieces(batches, 200):
             for k, u, p, r in zip(*(b.column(c).to_pylist() for c in ("k", "u", "p", "r"))):
-                held.append(record_bytes(k, u, p, r))
+                held.append(record_bytes(*(x if isinstance(x, str | int | None) else str(x) for x in (k, u)), p, r if isinstance(r, str | int | None) else str(r)))
                 size += len(held[-1])
                 if size >= archive_bytes:
-                    yield _piece(name, seq, held)
+                    yield _piece(name, held)
                     name, held, size = uuid.uuid4().hex, [], 0
         if held:
-            yield _piece(name, seq, held)
+            yield _piece(name, held)
 
-    out = scratch.save(marked.mapInArrow(run, "archive string, seq int, data binary"))
+    out = scratch.save(marked.mapInArrow(run, "archive string, data binary"))
     scratch.drop(keyed, first, refers)
     return out
 
 
-def _piece(name: str, seq: int, held: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"archive": [name], "seq": pa.array([seq], pa.int32()), "data": pa.array([b"".join(held)], pa.binary())})
+def _piece(name: str, held: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"archive": [name], "data": pa.array([b"".join(held)], pa.binary())})
 
 
 def read_archives(archives: DataFrame, *, id_kind: str = "bigint", payload: bool = False) -> DataFrame:
-    """Records of archives, each read sequentially: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload, null for revisits)."""
-    out = f"page_id {id_kind}, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to {id_kind}" + ", payload binary" * payload
-
-    at = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_kind]
-    fields = [("page_id", at), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", at)]
+    """Records of archives, each read sequentially, ids as ``id_kind``: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload, null for revisits)."""
+    fields = [("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())]
     schema = pa.schema(fields + [("payload", pa.binary())] * payload)
+    text = lambda x: None if (v := json.loads(x)) is None else str(v)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
-            got: list[dict] = []
-            for raw in members([b.column("data")[0].as_py()]):
+            got: list[tuple] = []
+            size = 0
+            for raw in members(chunked(b.column("data")[0].as_buffer())):
                 f, _, body = parse_record(raw)
-                row = {"page_id": json.loads(f["X-Page-Id"]), "url": json.loads(f["X-Page-Url"]), "payload_bytes": int(f["X-Payload-Length"]), "payload_digest": f["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": f["WARC-Type"], "refers_to": json.loads(f.get("X-Refers-To-Page-Id", "null"))}
-                got.append(row | ({"payload": body if f["WARC-Type"] == "response" else None} if payload else {}))
-            yield pa.RecordBatch.from_pylist(got, schema)
+                row = (text(f["X-Page-Id"]), json.loads(f["X-Page-Url"]), int(f["X-Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"], text(f.get("X-Refers-To-Page-Id", "null")))
+                got.append(row + (body if f["WARC-Type"] == "response" else None,) * payload)
+                size += 200 + (len(body) if payload else 0)
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), schema.types)], schema=schema)
+                    got, size = [], 0
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), schema.types)], schema=schema)
 
-    return archives.mapInArrow(run, out)
+    out = archives.select("data").mapInArrow(run, "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string" + ", payload binary" * payload)
+    return out.withColumn("page_id", F.col("page_id").cast(id_kind)).withColumn("refers_to", F.col("refers_to").cast(id_kind))
 
 
 def export_files(archives: DataFrame, folder: str) -> DataFrame:
@@ -171,5 +183,5 @@ def export_files(archives: DataFrame, folder: str) -> DataFrame:
 
 def read_files(spark, pattern: str, **options) -> DataFrame:
     """Records of .warc.gz files written by ``export_files``."""
-    files = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("archive"), F.lit(0).alias("seq"), F.col("content").alias("data"))
+    files = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("archive"), F.col("content").alias("data"))
     return read_archives(files, **options)
