@@ -1,20 +1,21 @@
 """Nearest neighbours by a block matrix join over int8 tiles.
 
-Queries and candidates are dealt to a grid of (query block, candidate block) cells of bounded size. In a
-cell, tiles of int8 vectors are multiplied (exactly, in float32 arithmetic); each product comes with a
-bound on its quantisation error, and only pairs whose upper bound reaches the lower bound of the k-th best
-seen so far are recomputed in double precision from the original vectors. Heaps keep each query's k best
-of a cell, and the cells' heaps are merged. No pair that could be among the k best is lost: the result is
-exact.
+Vectors become int8 once, in Spark columns, with their scale and the norm of what rounding left. Queries
+and candidates are dealt to a grid of (query block, candidate block) cells of ``CELL_BYTES`` at most; only
+the int8 rows travel there. In a cell, tiles are multiplied in float32; each product comes with a bound on
+its quantisation and rounding error, and heaps keep, for every query, the k best lower bounds and with them
+the pairs whose upper bound reaches the k-th of those. Cells' survivors are merged against the k-th lower
+bound over all cells, and only then are the original vectors fetched and the inner products recomputed in
+double precision. No pair that could be among the k best is lost: the result is exact.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-rows with a null id; of rows that repeat an id the smallest vector counts; only vectors of a query's own
-length are its candidates; equal scores go to the smaller id; other columns are ignored.
+rows with a null id; every row but the query's own is a candidate, rows that repeat an id too, and rows
+that repeat a query's id are queries of their own; only vectors of a query's own length are its
+candidates; equal scores go to the smaller id; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 1024, 4096, 1024
+CELL_BYTES, TILE = 8 << 20, 2048
 
 
 def usable(vector: Column) -> Column:
@@ -33,72 +34,89 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.size(vector) > 0, F.lit(False)) & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 vectors, their scales, and the norms of what rounding left."""
-    scale = np.abs(v).max(axis=1) / 127.0
-    q = np.rint(v / scale[:, None]).astype(np.int8)
-    left = np.linalg.norm(v - q * scale[:, None], axis=1)
-    return q, scale, left
+def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """int8 vectors, their scales, their norms, and the norms of what rounding left (a little more than either)."""
+    top = np.abs(v).max(axis=1)
+    unit = v / top[:, None]  # so that no square overflows or vanishes
+    q = np.rint(unit * 127.0).astype(np.int8)
+    slack = 1 + 1e-12 * v.shape[1]
+    return q, top / 127.0, top * np.linalg.norm(unit, axis=1) * slack, top * (np.linalg.norm(unit - q / 127.0, axis=1) * slack + 1e-15)
 
 
-def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row inner products in double precision, summed from the first component to the last."""
-    out = np.zeros(len(a))
-    for i in range(a.shape[1]):
-        out += a[:, i] * b[:, i]
-    return out
+def in_order(a: Column, b: Column) -> Column:
+    """The inner product in double precision, summed from the first component to the last."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def best_of_cell(qid: np.ndarray, qv: np.ndarray, cid: np.ndarray, cv: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """For every query the k best (score, id) of the candidates, best first; its own id is no candidate."""
-    q8, qs, ql = quantise(qv)
-    qn = np.linalg.norm(qv, axis=1)
+def bounds(q8: np.ndarray, qs: np.ndarray, qn: np.ndarray, ql: np.ndarray, c8: np.ndarray, cs: np.ndarray, cn: np.ndarray, cl: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all inner products of a tile: the int8 product, what quantisation left, and float32's rounding of the sum."""
+    rough = (q8 @ c8.T).astype(np.float64) * qs[:, None] * cs[None, :]
+    rounding = 127.0**2 * q8.shape[1] ** 2 * 2.0**-24 if 127**2 * q8.shape[1] >= 1 << 24 else 0.0  # whole numbers below 2**24 are exact
+    error = ql[:, None] * cn[None, :] + (qn + ql)[:, None] * cl[None, :] + rounding * qs[:, None] * cs[None, :]
+    error += 1e-9 * (np.abs(rough) + error) + 1e-12 * qn[:, None] * cn[None, :]
+    return rough - error, rough + error
+
+
+def best_of_cell(asked: tuple, had: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, candidate place, lower, upper) of the pairs that can be among a query's k best; ``asked`` and ``had`` hold rows, int8 vectors, scales, norms and left norms."""
+    qrow, q8, *qrest = asked
+    crow, c8, *crest = had
     q32 = q8.astype(np.float32)
-    heaps: list[list[tuple[float, int]]] = [[] for _ in qid]
-    floor = np.full(len(qid), -np.inf)
-    for at in range(0, len(cid), TILE):
-        ids, v = cid[at : at + TILE], cv[at : at + TILE]
-        c8, cs, cl = quantise(v)
-        rough = (q32 @ c8.astype(np.float32).T).astype(np.float64) * qs[:, None] * cs[None, :]
-        error = ql[:, None] * np.linalg.norm(v, axis=1)[None, :] + (qn + ql)[:, None] * cl[None, :] + 1e-9
-        rough[qid[:, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            kth = np.partition(rough - error, len(ids) - k, axis=1)[:, len(ids) - k]
-            low = np.maximum(floor, kth)
-        else:
-            low = floor
-        i, j = np.nonzero((rough + error >= low[:, None]) & (rough > -np.inf))
-        score = exact_products(qv[i], v[j])
-        for a, s, c in zip(i.tolist(), score.tolist(), ids[j].tolist()):
-            h = heaps[a]
-            if len(h) < k:
-                heapq.heappush(h, (s, -c))
-            elif (s, -c) > h[0]:
-                heapq.heapreplace(h, (s, -c))
-        floor = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
-    return [[(s, -c) for s, c in sorted(h, reverse=True)] for h in heaps]
+    floors = np.full((len(qrow), k), -np.inf)  # heaps of the k largest lower bounds
+    kept: list[tuple[np.ndarray, ...]] = []
+    for at in range(0, len(crow), TILE):
+        part = slice(at, at + TILE)
+        low, high = bounds(q32, *qrest, c8[part].astype(np.float32), *(x[part] for x in crest))
+        own = qrow[:, None] == crow[None, part]
+        low[own], high[own] = -np.inf, -np.inf
+        both = np.concatenate([floors, low], axis=1)
+        floors = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        i, j = np.nonzero((high >= floors.min(axis=1)[:, None]) & ~own)
+        kept.append((i, j + at, low[i, j], high[i, j]))
+    i, j, low, high = (np.concatenate(x) for x in zip(*kept))
+    sure = high >= floors.min(axis=1)[i]
+    return i[sure], j[sure], low[sure], high[sure]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query among all other rows."""
     scratch = scratch or Scratch(vectors.sparkSession)
     good = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    rows = good.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q")).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    rows = scratch.save(rows.withColumn("d", F.size("v")))
-    n, nq = rows.agg(F.count("*"), F.sum(F.col("q").cast("long"))).first()
-    nc, nb = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-(nq or 0) // QUERY_BLOCK))
-    block = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
-    cands = rows.select("d", "id", "v", block(nc, 1).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b"))
-    asks = rows.where("q").select("d", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("c"), block(nb, 2).alias("b"))
+    rows = scratch.save(good.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), F.size(vector_col).alias("d")).withColumn("row", F.monotonically_increasing_id()))
+
+    def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length = b.column("d").to_numpy()
+            for d in np.unique(length):
+                own = b.filter(pa.array(length == d))
+                q, s, n, left = quantise(np.asarray(own.column("v").flatten(), np.float64).reshape(own.num_rows, -1))
+                tiny = pa.array([x.tobytes() for x in q], pa.binary())
+                yield pa.RecordBatch.from_pydict({"d": own.column("d"), "row": own.column("row"), "q": own.column("q"), "tiny": tiny, "s": pa.array(s), "n": pa.array(n), "l": pa.array(left)})
+
+    tiny = scratch.save(rows.select("v", "d", "row", "q").mapInArrow(small, "d int, row bigint, q boolean, tiny binary, s double, n double, l double"))
+    n, nq, total, asked_bytes = tiny.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0)), F.coalesce(F.sum(F.col("d") + 40), F.lit(0)), F.coalesce(F.sum(F.when(F.col("q"), F.col("d") + 40)), F.lit(0))).first()
+    nc, nb = max(1, -(-total // CELL_BYTES)), max(1, -(-asked_bytes // CELL_BYTES))
+    block = lambda m, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(m)).cast("int")
+    cands = tiny.drop("q").withColumn("c", block(nc, 1)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    asks = tiny.where("q").drop("q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).withColumn("b", block(nb, 2))
+    schema = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
 
     def cell(asked: pa.Table, had: pa.Table) -> pa.Table:
         if not asked.num_rows or not had.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        grid = lambda t: np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1)
-        qid, cid = asked.column("id").to_numpy(), had.column("id").to_numpy()
-        best = best_of_cell(qid, grid(asked), cid, grid(had), k)
-        return pa.table({"query_id": np.repeat(qid, [len(x) for x in best]), "vec_id": pa.array([c for x in best for _, c in x], pa.int64()), "score": pa.array([s for x in best for s, _ in x], pa.float64())})
-
-    out = asks.groupBy("d", "c", "b").cogroup(cands.groupBy("d", "c", "b")).applyInArrow(cell, "query_id bigint, vec_id bigint, score double")
-    merged = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", merged).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            return schema.empty_table()
+        grid = lambda t: np.frombuffer(b"".join(t.column("tiny").to_pylist()), np.int8).reshape(t.num_rows, -1)
+        parts = lambda t: (t.column("row").to_numpy(), grid(t), *(t.column(x).to_numpy() for x in "snl"))
+        a, b = parts(asked), parts(had)
+        i, j, low, high = best_of_cell(a, b, k)
+        return pa.table({"q": a[0][i], "c": b[0][j], "low": low, "high": high}, schema)
+
+    found = asks.groupBy("d", "c", "b").cogroup(cands.groupBy("d", "c", "b")).applyInArrow(cell, "q bigint, c bigint, low double, high double")
+    found = scratch.save(found)
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))
+    floor = found.select("q", "low", place.alias("place")).where(F.col("place") == k).select(F.col("q").alias("fq"), F.col("low").alias("floor"))
+    able = found.join(floor, F.col("q") == F.col("fq"), "left").where(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("q", "c")
+    ask = rows.where("q").select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    had = rows.select(F.col("row").alias("c"), F.col("id").alias("vec_id"), F.col("v").alias("cv"))
+    scored = able.join(ask, "q").join(had, "c").select("q", "query_id", "vec_id", in_order(F.col("qv"), F.col("cv")).alias("score"))
+    merged = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", merged).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -69,12 +69,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _ANN_SQL = """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.n, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 20 = 0
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
@@ -87,8 +87,8 @@ WITH p AS (
 SELECT page_id, url, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + (((((instr(d, substr(x, 5 * i // 4 + 1, 1)) - 1) * 16 + greatest(instr(d, substr(x, 5 * i // 4 + 2, 1)) - 1, 0)) >> (3 - 5 * i % 4))) & 31), 1)), '') AS payload_digest,
-  CASE WHEN page_id IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM f
 """
 

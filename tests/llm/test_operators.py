@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -311,24 +312,40 @@ def in_order(a, b):
     return total
 
 
-def test_neighbours_equal_brute_force(spark):
+def test_neighbours_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(700, 16)).astype(np.float32)
     v[3] = v[40]
     v[100:140] = v[7]
+    v[200:210] *= np.float32(1e15)
+    v[300:310] *= np.float32(1e-15)
     rows = [(i, [float(x) for x in v[i]]) for i in range(700)]
+    rows += [(20, [float(x) for x in v[9]]), (41, [float(x) for x in -v[41]])]  # ids again, with other vectors
     bad = [(2000, None), (2020, []), (2040, [0.0] * 16), (2060, [float("nan")] * 16), (2080, [1.0] * 15 + [None]), (2100, [float("inf")] * 16), (None, [1.0] * 16), (2120, [1.0, 2.0])]
-    df = spark.createDataFrame(rows + bad + rows[:50], "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS d")
-    got = {}
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
-        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
-    assert sorted(got) == list(range(0, 700, 20))
-    wide = v.astype(np.float64)
-    for q, found in got.items():
-        s = [in_order(wide[q].tolist(), wide[i].tolist()) for i in range(700)]
-        want = sorted(((-x, i) for i, x in enumerate(s) if i != q))[:20]
-        assert [found[k][0] for k in range(1, 21)] == [i for _, i in want]
-        assert [found[k][1] for k in range(1, 21)] == [-x for x, _ in want]
+    df = spark.createDataFrame(rows + bad + rows[:50], "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS d", "3 AS row")
+    want, every = Counter(), rows + rows[:50]
+    wide = np.array([x for _, x in every])
+    for n, (q, x) in enumerate(every):
+        if q % 20 == 0:
+            s = np.zeros(len(every))
+            for k in range(16):
+                s += x[k] * wide[:, k]
+            best = sorted((-float(s[i]), every[i][0]) for i in range(len(every)) if i != n)[:20]
+            want.update((q, k, i, -t) for k, (t, i) in enumerate(best, 1))
+    for size in (ann.CELL_BYTES, 3000):
+        monkeypatch.setattr(ann, "CELL_BYTES", size)
+        monkeypatch.setattr(ann, "TILE", 64)
+        assert Counter(tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20).collect()) == want
+
+
+def test_bounds_hold_with_rounding_at_many_dimensions():
+    rng = np.random.default_rng(3)
+    for d in (3, 64, 3000):
+        v = rng.normal(size=(60, d)) * 10.0 ** rng.integers(-3, 4, (60, 1))
+        q, *rest = ann.quantise(v)
+        low, high = ann.bounds(q.astype(np.float32), *rest, q.astype(np.float32), *rest)
+        exact = np.array([[math.fsum(a * b) for b in v] for a in v])
+        assert (low <= exact).all() and (exact <= high).all() and (high - low < 0.1 * np.outer(rest[1], rest[1]) + 1e-9).all()
 
 
 def test_neighbours_of_few_and_no_vectors(spark):
@@ -492,30 +509,38 @@ def test_pages_of_the_table(spark, sf):
 
 def test_warc_round_trip(spark, tmp_path):
     big = "".join(random.Random(0).choice("abc<>\r\né") for _ in range(300_000))
-    rows = [(5, "http://a", "same"), (3, "http://b\r\nx: y", "same"), (9, None, "same"), (9, None, "same"), (1, "http://c", None), (2, "http://d", ""), (None, "http://e", "same"), (7, "http://f", big), (8, "http://g", "a\r\n\r\nb")]
+    rows = [(5, "http://a", "same"), (3, "http://b\r\nx: y", "same"), (9, None, "same"), (9, None, "same"), (1, "http://c", None), (2, "http://d", ""), (None, "http://e", "same"), (None, "http://h", "alone"), (None, None, "alone"), (7, "http://f", big), (8, "http://g", "a\r\n\r\nb")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).withColumn("d", F.lit(1)).withColumn("r", F.lit(2))
     arch = warc.write_archives(pages)
     got = warc.read_archives(arch, payload=True).collect()
     assert len(got) == len(rows)
     first = {}
     for i, _, h in rows:
-        if i is not None:
-            first[h or ""] = min(first.get(h or "", i), i)
+        first[h or ""] = min((x for x in (first.get(h or ""), i) if x is not None), default=None)
     seen = Counter((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got)
     want = Counter()
     for i, u, h in rows:
         b = (h or "").encode()
-        lead = i is None or first[h or ""] == i
+        lead = first[h or ""] == i
         want[(i, u, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if lead else "revisit", None if lead else first[h or ""])] += 1
     assert seen == want
     assert {bytes(r.payload).decode() for r in got if r.payload is not None} == {h or "" for _, _, h in rows}
     files = warc.export_files(arch, str(tmp_path)).collect()
     assert Counter(r.page_id for r in warc.read_files(spark, f"{tmp_path}/*.warc.gz").collect()) == Counter(i for i, _, _ in rows) and files
     small = Counter(r.record_type for r in warc.read_archives(warc.write_archives(pages, min_payload=5)).collect())
-    assert small == {"response": len(rows)}
+    assert small == {"response": len(rows)}  # only "alone" is that long, and has no id to refer to
+    text = pages.withColumn("page_id", F.col("page_id").cast("string"))
+    assert Counter(r.page_id for r in warc.read_archives(warc.write_archives(text), id_kind="string").collect()) == Counter(None if i is None else str(i) for i, _, _ in rows)
     assert warc.read_archives(warc.write_archives(pages.where("false"))).collect() == []
 
 
+def test_warc_reader_takes_linear_time():
+    one = warc.record_bytes(1, "u", b"payload " * 20)
+    start = time.perf_counter()
+    n = sum(1 for _ in warc.members(warc.chunked(one * 20_000)))
+    assert n == 20_000 and time.perf_counter() - start < 10
+
+
 def test_warc_reader_in_pieces_and_on_damage():
     data = warc.record_bytes(1, "u", b"x" * 5000) + warc.record_bytes(2, "v", b"", 1)
     for step in (1, 7, 10_000):
