@@ -72,6 +72,11 @@ def crc_mod(col: Column, m: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % F.lit(m), F.lit(0))
 
 
+def quoted(name: str) -> str:
+    """A column's name as one identifier, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings, null as empty."""
     return ["" if x is None else x for x in batch.column(name).to_pylist()]

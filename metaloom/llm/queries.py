@@ -24,7 +24,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [f"n_{k}" for k in pii.KINDS]
+    counts = [f"n_{k}" for k in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_found")
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, strings
+from .common import Scratch, pieces, quoted, strings
 from .components import components
 
 BLOCKS, PIVOTS, PAIRS, MERGE = 6, 24, 1 << 16, 1 << 20  # pairs compared and merged at once
@@ -222,7 +222,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     scratch.drop(own)
 
     def among(rows: DataFrame, how: str) -> DataFrame:
-        same = F.col(f"d.{_quoted(id_col)}").eqNullSafe(F.col("k.kept_id")) & (text_hash(F.col(f"d.{_quoted(text_col)}")) == F.col("k.kept_hash"))
+        same = F.col(f"d.{quoted(id_col)}").eqNullSafe(F.col("k.kept_id")) & (text_hash(F.col(f"d.{quoted(text_col)}")) == F.col("k.kept_hash"))
         return docs.alias("d").join(rows.alias("k"), same, how)
 
     if not often.take(1):
@@ -235,7 +235,3 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

@@ -302,6 +302,81 @@ def test_contextual_extraction_finds_what_patterns_point_at(spark):
     assert pii.find(empty(spark)).collect() == [] and pii.redact(empty(spark)).collect() == []
 
 
+def filler(rng):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(4))
+
+
+def test_found_instances_induce_new_patterns(spark):
+    """Phones after "call me" are seeds; loose ones there are found; those also stand after "my line", which finds others; decoys stay."""
+    rng, rows = random.Random(6), []
+    rows += [f"{filler(rng)} call me +1 202 555 {i:04d} {filler(rng)}" for i in range(90)]
+    rows += [f"{filler(rng)} call me 0303-777-{i:04d} {filler(rng)}" for i in range(15)]
+    rows += [f"{filler(rng)} my line (0303) 777-{i:04d} {filler(rng)}" for i in range(15)]
+    rows += [f"{filler(rng)} my line 0404-888-0001 {filler(rng)}", f"{filler(rng)} the order 0505-999-0001 {filler(rng)}"]
+    rows += [f'{filler(rng)} token = "04dbebab91ab85687d33eeaaf9ac{i:04d}" {filler(rng)}' for i in range(3)]
+    rows += [f"{filler(rng)} mail ann{i}@example.org {filler(rng)}" for i in range(20)] + [f"{filler(rng)} mail bob [at] example [dot] org {filler(rng)}"]
+    rows += [f"{filler(rng)} form 4111 1111 1111 1111 {filler(rng)}", f"{filler(rng)} 4111.1111.1111.1111 {filler(rng)}"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: [(x.split(":")[0], rows[r.doc_id][int(x.split(":")[1]) : int(x.split(":")[2])]) for x in r.found.split(",")] for r in pii.find(docs).where("n_found > 0").collect()}
+    want = {90 + i: [("phone", f"0303-777-{i:04d}")] for i in range(15)} | {105 + i: [("phone", f"(0303) 777-{i:04d}")] for i in range(15)} | {120: [("phone", "0404-888-0001")]}
+    want |= {122 + i: [("secret", f"04dbebab91ab85687d33eeaaf9ac{i:04d}")] for i in range(3)} | {145: [("email", "bob [at] example [dot] org")], 147: [("card", "4111.1111.1111.1111")]}
+    assert found == want
+    clean = pii.redact(docs.selectExpr("*", "1 AS _id", "2 AS _hash", "3 AS spans", "4 AS i", "5 AS `h`", "6 AS `a.b`"))
+    assert clean.columns == ["doc_id", "text", "_id", "_hash", "spans", "i", "h", "a.b"]
+    text = {r.doc_id: r.text for r in clean.collect()}
+    assert "my line <phone> " in text[120] and text[121] == rows[121] and 'token = "<secret>"' in text[122]
+
+
+def brute_trust(cands):
+    """Confidences by plain loops over (kind, loose kinds, pattern, instance)."""
+    nodes, seeds = {}, {}
+    for k, loose, p, i in cands:
+        a, b = nodes.get((p, i), (-1, 0))
+        nodes[p, i] = (max(a, k), max(b, loose))
+    for (p, i), (k, _) in nodes.items():
+        if k >= 0:
+            seeds.setdefault((i, k), 1.0)
+    size, known = Counter(p for p, _ in nodes), dict(seeds)
+    given = {(p, 4): 1.0 for name in pii.SECRET_NAMES for p in (f"1< {name}", f"2< {name} =", f"2< {name} is")}
+    for _ in range(pii.ROUNDS):
+        support = {}
+        for p, i in nodes:
+            for (j, k), belief in known.items():
+                if i == j:
+                    support.setdefault((p, k), []).append(belief)
+        trust = {key: sum(v) / (size[key[0]] + 1) for key, v in support.items() if len(v) >= pii.MIN_SEEDS and sum(v) / (size[key[0]] + 1) >= pii.MIN_CONFIDENCE}
+        trust = {key: max(trust.get(key, 0), given.get(key, 0)) for key in trust.keys() | given.keys()}
+        side = {}
+        for (p, i), (k, loose) in nodes.items():
+            for kind in range(5):
+                if k < 0 and loose >> kind & 1 and (p, kind) in trust:
+                    at = (i, kind, p[1])
+                    side[at] = max(side.get(at, 0), trust[p, kind])
+        belief = {}
+        for (i, kind, _), c in side.items():
+            belief[i, kind] = 1 - (1 - belief.get((i, kind), 0)) * (1 - min(c, 1 - 1e-9))
+        grown = dict(seeds)
+        for i in {i for i, _ in belief} - {i for i, _ in seeds}:
+            b, kind = max((b, -kind) for (j, kind), b in belief.items() if j == i)
+            grown[i, -kind] = b
+        known = grown
+    return trust
+
+
+def test_pattern_scores_equal_plain_loops(spark):
+    rng, rows = random.Random(11), []
+    for i in range(400):
+        kind = rng.choice([-1, -1, 0, 1, 3])
+        place = rng.randrange(6)
+        for p in (f"1< w{place if rng.random() < 0.9 else rng.randrange(6)}", f"1> v{place}"):
+            rows.append((kind if rng.random() < 0.8 else -1, 0 if kind >= 0 else rng.choice([1, 2, 8, 9, 16]), p, rng.randrange(150)))
+    rows += [(3, 0, "1< call", 1000 + i) for i in range(80)] + [(-1, 8, "1< call", 2000 + i) for i in range(12)] + [(-1, 8, "1> soon", 2000 + i) for i in range(12)] + [(-1, 8, "1> soon", 3000)]
+    got = {(r.pattern, r.kind): r.confidence for r in pii.score_patterns(spark.createDataFrame(rows, "k int, loose int, pattern string, inst long"), common.Scratch(spark))[0].collect()}
+    want = brute_trust(rows)
+    assert got.keys() == want.keys() and ("1> soon", 3) in got
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
 # ---------------------------------------------------------------- neighbours
 
 
