@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import edge_sentence
+from . import rank
 
 
 @dataclass
@@ -64,6 +65,39 @@ def shared_groups(members: DataFrame, targets: DataFrame, marked: DataFrame, uni
     return x.withColumn("ratio", F.when(F.col("expected") > 0, F.col("hits") / F.col("expected"))).withColumn("eligible", F.col("expected") >= 1)
 
 
+def virus_pathways(factors: DataFrame, members: DataFrame, universe: DataFrame, cap: int) -> DataFrame:
+    """(group, size, hits, expected, ratio): groups of up to ``cap`` members that hold a factor, with what their size leads one to expect.
+
+    Chosen by holding a factor, so there is no tail probability; the ratio of densities is a lead, not a finding.
+    """
+    deps = factors.select("id").distinct()
+    inside = members.join(universe.select("id").distinct(), "id", "left_semi").select("group", "id").distinct()
+    size = inside.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") <= cap)
+    hits = inside.join(deps, "id", "left_semi").groupBy("group").agg(F.count("*").alias("hits"))
+    base = universe.select("id").distinct().join(deps.withColumn("d", F.lit(1)), "id", "left").agg((F.count("d") / F.count("*")).alias("density"))  # one row
+    x = size.join(hits, "group").join(F.broadcast(base)).select("group", "size", "hits", (F.col("size") * F.col("density")).alias("expected"))
+    return x.withColumn("ratio", F.when(F.col("expected") > 0, F.col("hits") / F.col("expected")))
+
+
+def best_potency(edges: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys..., potency, field): the least value of the first field, in order of preference, that any edge has; not the least of all."""
+    least = edges.groupBy(*keys).agg(*[F.min(f).alias(f) for f in fields])
+    name = F.coalesce(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields])
+    return least.select(*keys, F.coalesce(*fields).cast("double").alias("potency"), name.alias("field")).where("field is not null")
+
+
+def selectivity_notes(pairs: DataFrame, keys: list[str], cautioned: list[str]) -> DataFrame:
+    """(keys..., si_min, si_max, n, spread, caution): selectivity as a range over studies; the caution names cell lines on the list."""
+    own = pairs.groupBy(*keys).agg(F.min("si").alias("si_min"), F.max("si").alias("si_max"), F.count("si").alias("n"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("cell").isin(*cautioned), F.col("cell")))), "|").alias("caution"))
+    return own.where("n > 0").withColumn("spread", F.when(F.col("si_min") > 0, F.col("si_max") / F.col("si_min"))).select(*keys, "si_min", "si_max", "n", "spread", F.nullif("caution", F.lit("")).alias("caution"))
+
+
+def shortlist(candidates: DataFrame, tier: str, score: str, n: int) -> DataFrame:
+    """candidates with ``position``: the best of each tier by score, ties to the smaller id, with how many the tier has."""
+    ranked = rank.top_k(candidates, [tier], [F.desc_nulls_last(score), F.asc("id")], n)
+    return ranked.join(candidates.groupBy(tier).agg(F.count("*").alias("in_tier")), tier)
+
+
 # ---------------------------------------------------------------- questions
 
 KINDS: list[tuple[str, str]] = [

@@ -86,8 +86,6 @@ def merge_edges(witnesses: DataFrame, keys: list[str], *, precedence: list[str]
     """
     have, order = set(witnesses.columns), F.struct("layer_rank", "line_no")
     aggs = [F.sum(F.coalesce("support_count", F.lit(1)) if "support_count" in have else F.lit(1)).alias("support_count"), merged_sources(F.col("source")).alias("source")]
-    if "publications" in have:
-        aggs.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("publications", F.array().cast("array<string>")))))).alias("publications"))
     if "evidence_tier" in have:
         aggs.append(F.min(F.coalesce("evidence_tier", F.lit(4))).alias("evidence_tier"))
     if "first_asserted_date" in have:
@@ -95,6 +93,13 @@ def merge_edges(witnesses: DataFrame, keys: list[str], *, precedence: list[str]
     aggs += [first_present(F.col(c), order).alias(c) for c in precedence]
     aggs += [ladder(F.col(c), steps).alias(c) for c, steps in (ladders or {}).items()]
     out = witnesses.groupBy(*keys).agg(*aggs)
+    if "publications" in have:  # distinct before they are gathered: repeats of a much-cited fact never meet in one row
+        each = witnesses.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.explode("publications").alias("_pub")).distinct()
+        cited = each.groupBy(*[f"_{i}" for i in range(len(keys))]).agg(F.array_sort(F.collect_set("_pub")).alias("publications"))
+        on = F.lit(True)
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_{i}"))
+        out = out.join(cited, on, "left").select(*out.columns, F.coalesce("publications", F.array().cast("array<string>")).alias("publications"))
     for flag, needs in (derived_absence or {}).items():
         out = out.withColumn(flag, F.coalesce(*[F.col(c).cast("string") for c in needs]).isNull())
     return out
@@ -127,6 +132,46 @@ def merge_nodes(rows: DataFrame, properties: list[str]) -> DataFrame:
     return own.groupBy("id", "class").agg(*[first_present(F.col(p), order).alias(p) for p in properties], sum(conflict[1:], conflict[0]).alias("conflicts"))
 
 
+def assemble(layers: dict[str, tuple[DataFrame, DataFrame]], *, properties: list[str], precedence: list[str] = (), ladders: dict[str, list[str]] | None = None, derived_absence: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Layers of (nodes, edges) as one release: (nodes, edges with edge_id, accounting).
+
+    Layers rank by the declared precedence; lines within a layer by ``line_no``. A node keeps its first
+    class, and rows of another class are left out and counted; properties fill gaps and never overwrite.
+    The accounting has, for each layer, how many nodes and edges it brought and how many of them merged into
+    an earlier layer's (``new`` + ``merged`` + ``rejected`` = ``rows``).
+    """
+    order = F.struct("layer_rank", "line_no")
+    stack = lambda i: _union([df[i].withColumn("layer", F.lit(name)).withColumn("layer_rank", layer_rank(F.lit(name))) for name, df in layers.items()])
+    nodes, edges = stack(0), stack(1)
+    keys = ["subject", "predicate", "object"]
+    first_n = nodes.groupBy("id").agg(F.min_by("class", order).alias("_class"), F.min(order).alias("_first"))
+    first_e = edges.groupBy(*keys).agg(F.min(order).alias("_first"))
+    fate_n = nodes.join(first_n, "id").select("layer", F.lit("nodes").alias("kind"), F.when(F.col("class") != F.col("_class"), "rejected").when(order == F.col("_first"), "new").otherwise("merged").alias("fate"))
+    fate_e = edges.join(first_e, keys).select("layer", F.lit("edges").alias("kind"), F.when(order == F.col("_first"), "new").otherwise("merged").alias("fate"))
+    fates = fate_n.unionByName(fate_e).groupBy("layer", "kind").agg(F.count("*").alias("rows"), *[F.count_if(F.col("fate") == x).alias(x) for x in ("new", "merged", "rejected")])
+    merged = merge_edges(edges, keys, precedence=list(precedence), ladders=ladders, derived_absence=derived_absence)
+    return merge_nodes(nodes, properties), merged.withColumn("edge_id", fact_id(*[F.col(k) for k in keys])), fates
+
+
+def _union(dfs: list[DataFrame]) -> DataFrame:
+    out = dfs[0]
+    for df in dfs[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def id_collisions(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """(edge_id, keys): ids that more than one key has."""
+    return facts.groupBy("edge_id").agg(F.count_distinct(*keys).alias("keys")).where("keys > 1")
+
+
+def reconcile(accounting: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, counted, present) where the layers' new rows do not add up to what the release has."""
+    present = nodes.agg(F.lit("nodes").alias("kind"), F.count("*").alias("present")).unionByName(edges.agg(F.lit("edges").alias("kind"), F.count("*").alias("present")))
+    counted = accounting.groupBy("kind").agg(F.sum("new").alias("counted"))
+    return present.join(counted, "kind", "left").select("kind", F.coalesce("counted", F.lit(0)).cast("long").alias("counted"), "present").where("counted <> present")
+
+
 def class_conflicts(rows: DataFrame) -> DataFrame:
     """(id, classes): node ids claimed by more than one class."""
     return rows.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("class")), "|").alias("classes"), F.count_distinct("class").alias("n")).where("n > 1").select("id", "classes")

@@ -51,7 +51,7 @@ def lift(scores: DataFrame, positive: str, by: list[str], k: int, score: str = "
 def combine_channels(scored: DataFrame, weights: DataFrame, by: list[str], channel: str, item: str) -> DataFrame:
     """(by..., item, score): the largest percentile x weight over channels; a channel without weight says nothing."""
     pct = rank.midrank_percentile(scored, "score", [*by, channel])
-    return pct.join(F.broadcast(weights), channel).groupBy(*by, item).agg(F.max(F.col("percentile") * F.col("weight")).alias("score"))
+    return pct.join(weights, channel).groupBy(*by, item).agg(F.max(F.col("percentile") * F.col("weight")).alias("score"))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from ..sources.graph_view import Graph
 
 
@@ -39,6 +40,16 @@ def nearest_rank(values: DataFrame, col: str, percentile: float) -> DataFrame:
     return upto.join(F.broadcast(total)).where(F.col("upto") > at).agg(F.min("v").alias("cut"))
 
 
+def nearest_ranks(values: DataFrame, col: str, percentiles: dict[str, float]) -> DataFrame:
+    """(name, cut): several nearest ranks from one pass over the value counts."""
+    counts = values.groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
+    w = Window.orderBy("v")  # over distinct values
+    x = counts.select("v", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    at = lambda p: F.least(F.floor(F.col("n") * F.lit(p) / 100), F.col("n") - 1)
+    cuts = x.agg(*[F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(name) for name, p in percentiles.items()])
+    return cuts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("cut")) for n in percentiles])).alias("x")).select("x.*").where("cut is not null")
+
+
 def hubs(nodes: DataFrame, degrees: DataFrame, classes: list[str], cut: int) -> DataFrame:
     """(id, degree) of nodes of the classes whose degree is over the cut."""
     return nodes.where(F.col("class").isin(classes)).join(degrees.where(F.col("degree") > cut), "id").select("id", "degree")
@@ -77,7 +88,8 @@ def orphans(g: Graph) -> DataFrame:
 def neighbourhood(edges: DataFrame, node: str, limit: int = 50) -> DataFrame:
     """Edges at a node in (predicate, subject, object) order, with the number that exist; two equality scans."""
     own = edges.where(F.col("subject") == node).unionByName(edges.where((F.col("object") == node) & (F.col("subject") != node)))
-    return own.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(1)))).orderBy("predicate", "subject", "object", "qualifier", "year").limit(limit)
+    total = own.agg(F.count("*").alias("total"))  # one row
+    return own.join(F.broadcast(total)).orderBy("predicate", "subject", "object", "qualifier", "year").limit(limit)
 
 
 def profile(g: Graph, node: str) -> DataFrame:
@@ -105,13 +117,16 @@ def resolve_aliases(ids: DataFrame, aliases: DataFrame, nodes: DataFrame, hops:
 
 
 def distances(edges: DataFrame, starts: DataFrame, hops: int = 4, blocked: DataFrame | None = None) -> DataFrame:
-    """(id, distance): hops from the nearest start over undirected edges (a, b); blocked nodes are neither entered nor left."""
+    """(id, distance): hops from the nearest start over undirected edges (a, b); blocked nodes are neither entered nor left.
+
+    Links and each hop's front are written, so that a hop reads the last front, not the plan that led to it.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     if blocked is not None:
         both = both.join(blocked.select(F.col("id").alias("b")), "b", "left_anti")
-    seen = starts.select("id").distinct().withColumn("distance", F.lit(0))
-    front = seen
+    both = written(both)
+    seen = front = written(starts.select("id").distinct().withColumn("distance", F.lit(0)))
     for h in range(1, hops + 1):
-        front = both.join(front, both.a == front.id).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("distance", F.lit(h))
+        front = written(both.join(front, both.a == front.id).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("distance", F.lit(h)))
         seen = seen.unionByName(front)
     return seen

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def value_positions(df: DataFrame, score: str, by: list[str], descending: bool = False) -> DataFrame:
     """(by..., _v, c, below, n): how often a value occurs, how many rows lie before it, rows in all."""
@@ -31,8 +33,11 @@ def midrank_percentile(df: DataFrame, score: str, by: list[str]) -> DataFrame:
 
 def average_rank(df: DataFrame, score: str, by: list[str]) -> DataFrame:
     """df with ``avg_rank``: the 1-based mean rank of the tie block."""
-    w = Window.partitionBy(*by).orderBy(score)
-    return df.withColumn("avg_rank", F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, score)) - 1) / 2)
+    at = value_positions(df, score, by).withColumn("avg_rank", F.col("below") + (F.col("c") + 1) / 2)
+    on = df[score].eqNullSafe(at["_v"])
+    for k in by:
+        on = on & df[k].eqNullSafe(at[k])
+    return df.join(at, on).select(df["*"], "avg_rank")
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -41,10 +46,21 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
 
 
 def equal_count_bins(df: DataFrame, by: list[str], order: list[str], bins: int) -> DataFrame:
-    """df with ``bin`` = min(bins - 1, i * bins // n) of the row's position i; not NTILE."""
-    w = Window.partitionBy(*by)
-    i = F.row_number().over(w.orderBy(*order)) - 1
-    return df.withColumn("bin", F.least(F.lit(bins - 1), F.floor(i * bins / F.count("*").over(w))).cast("int"))
+    """df with ``bin`` = min(bins - 1, i * bins // n) of the row's position i; not NTILE.
+
+    Rows are sorted over range partitions; a group's positions are its rows' places within a partition plus
+    the rows it has in earlier ones, so a group of any size is many tasks' work.
+    """
+    x = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    x = written(x.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    pieces = x.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_c"))
+    w = Window.partitionBy(*by).orderBy("_part")
+    pieces = pieces.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_part").alias("_p"), "_first", (F.sum("_c").over(w) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(by):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    place = F.col("_before") + F.col("_at") - F.col("_first")
+    return x.join(pieces, on).withColumn("bin", F.least(F.lit(bins - 1), F.floor(place * bins / F.col("_n"))).cast("int")).select(*df.columns, "bin")
 
 
 def log2_bin(degree: Column) -> Column:

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from ..sources.graph_view import Graph
 
 
@@ -72,8 +73,10 @@ def walk(g: Graph, path: Metapath, degree: DataFrame, *, exponent: float = -0.4,
 
     "node": degree ** exponent of every node entered (absent or zero: 1). "edge": (out-degree of the step's
     source x in-degree of its target, by predicate) ** exponent. ``blocked`` nodes (id) are no inner nodes;
-    the last hop and the start are free of it.
+    the last hop and the start are free of it. Degrees are written once, not planned again at every hop.
     """
+    if scheme == "node":
+        degree = written(degree.select("id", "degree"))
     node = g.nodes
     state = node.where(F.col("class") == path.start).select(F.col("id").alias("start"), F.col("id").alias("cur"))
     if starts is not None:
@@ -83,7 +86,8 @@ def walk(g: Graph, path: Metapath, degree: DataFrame, *, exponent: float = -0.4,
     kept: list[int] = [0]  # positions whose node a later hop must not meet again; "start" is position 0
     for i, hop in enumerate(path.hops, 1):
         rel = hop_relation(g, hop, path.constraints.get(hop.predicate))
-        target = node.where(F.col("class") == hop.target).select("id").join(degree, "id", "left")
+        target = node.where(F.col("class") == hop.target).select("id")
+        target = target.join(degree, "id", "left") if scheme == "node" else target
         if blocked is not None and i < len(path.hops):
             target = target.join(blocked.select("id"), "id", "left_anti")
         if scheme == "edge":

@@ -568,7 +568,7 @@ def knn_exclusion_score(spark, sf):
     return similarity.knn_excluding(_nearest(spark, sf, 20), 5).withColumn("score", r(F.col("score")))
 
 
-@query(f"WITH {_COS} SELECT t AS threshold, count(*) FILTER (m >= t) AS n FROM (SELECT query, max(s) AS m FROM other WHERE rk <= 10 GROUP BY 1), (VALUES (0.1), (0.3), (0.5)) AS th(t) GROUP BY 1")
+@query(f"WITH {_COS} SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (m >= t) AS n FROM (SELECT query, max(s) AS m FROM other WHERE rk <= 10 GROUP BY 1), (VALUES (0.1), (0.3), (0.5)) AS th(t) GROUP BY 1")
 def similarity_distribution(spark, sf):
     return similarity.similarity_distribution(_nearest(spark, sf, 10), [0.1, 0.3, 0.5])
 

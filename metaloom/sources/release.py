@@ -62,9 +62,17 @@ def manifest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     deg = graph.degree(edges)
     section = lambda s, df, k: df.select(F.lit(s).alias("section"), F.col(k).alias("name"), F.col("n").cast("long"))
     out = section("class", graph.class_counts(nodes), "class").unionByName(section("predicate", edges.groupBy("predicate").agg(F.count("*").alias("n")), "predicate"))
-    for name, p in (("p50", 50.0), ("p99", 99.0), ("p99.9", 99.9), ("max", 100.0)):
-        out = out.unionByName(graph.nearest_rank(deg, "degree", p).select(F.lit("degree").alias("section"), F.lit(name).alias("name"), F.col("cut").cast("long").alias("n")))
-    return out
+    cuts = graph.nearest_ranks(deg, "degree", {"p50": 50.0, "p99": 99.0, "p99.9": 99.9, "max": 100.0})
+    return out.unionByName(section("degree", cuts.withColumnRenamed("cut", "n"), "name"))
+
+
+def write_split(train: DataFrame, nodes: DataFrame, labels: DataFrame, path: str, stamp: dict) -> None:
+    """A training release: its edges, the nodes that they touch, the label sets (split, group, item, label) and a stamp of where it was cut from."""
+    train.write.mode("overwrite").parquet(f"{path}/edges.parquet")
+    touched = train.select(F.explode(F.array("subject", "object")).alias("id"))
+    nodes.join(touched, "id", "left_semi").write.mode("overwrite").parquet(f"{path}/nodes.parquet")
+    labels.write.mode("overwrite").partitionBy("split").parquet(f"{path}/labels.parquet")
+    train.sparkSession.createDataFrame([(json.dumps(stamp, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/derived_from")
 
 
 def result_json(results: object, provenance: dict, refusals: list[str]) -> str:

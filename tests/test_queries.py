@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
+import metaloom.queries_agents  # noqa: F401
 import metaloom.queries_census  # noqa: F401
+import metaloom.queries_relational  # noqa: F401
 import metaloom.queries_sources  # noqa: F401
 from metaloom.queries import QUERIES, SQL
 
