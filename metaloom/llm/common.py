@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,24 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
+from ..scratch import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="metaloom-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return f"file://{_LOCAL[0]}"
-
-
 class Scratch:
     """Tables written to the shared folder so that a lost executor costs no recomputation of what led to them.
 
@@ -39,7 +25,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/metaloom-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/metaloom-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self.drop_all)
 
@@ -82,8 +68,14 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
 
 
-def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches cut to at most so many rows, so that Python holds few texts at once."""
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most so many rows and, but for single rows, bytes, so that Python holds few texts at once."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        todo = [b.slice(i, rows) for i in range(0, b.num_rows, rows)][::-1]
+        while todo:
+            x = todo.pop()
+            if x.num_rows > 1 and x.nbytes > size:
+                half = x.num_rows // 2
+                todo += [x.slice(half), x.slice(0, half)]
+            else:
+                yield x

@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import pieces, strings
+from .common import Scratch, pieces, strings
 
 BLOCK, STRIDE, REPS, SAMPLED, SIMILARITY, ITEMS_AT_ONCE = 12, 3, 40, 6, 0.8, 20_000
 MEMO_WORDS = 300_000
@@ -243,15 +244,19 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str, similarity: flo
     n = benchmark.count()
     parts = -(-n // ITEMS_AT_ONCE)
     for i in range(parts):
-        part = benchmark.where(F.pmod(F.xxhash64(F.col(item_col)), F.lit(parts)) == i).select(item_col, text_col)
+        part = benchmark.where(F.pmod(F.xxhash64(F.col(item_col), F.col(text_col)), F.lit(parts)) == i).select(item_col, text_col)
         yield Index([(r[0], r[1]) for r in part.collect()], similarity)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, start_word, end_word, edits, item_words): the best place of every benchmark item in every document that has it."""
+    """(doc_id, item_id, start_word, end_word, edits, item_words): the best place of every benchmark item in every document that has it.
+
+    Ids of both tables may be of any type; where both columns have one name, the item's is returned as item_<name>.
+    """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    out = f"{id_col} {kind}, {item_col} {item_kind}, start_word int, end_word int, edits int, item_words int"
-    at = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    names = [id_col, item_col if item_col != id_col else f"item_{item_col}", "start_word", "end_word", "edits", "item_words"]
+    out = ", ".join(f"`{n}` {k}" for n, k in zip(names, (kind, item_kind, "int", "int", "int", "int")))
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
 
     def search(index: Index) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,12 +268,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
                 for i, found in _by_text(index, x, starts, ends):
                     rows += [(ids[i], index.items[n][0], s, e, d, len(index.ids[n])) for n, s, e, d in found]
                 cols = list(zip(*rows)) or [[]] * 6
-                types = [at[kind], at[item_kind], *[pa.int32()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [id_col, item_col, "start_word", "end_word", "edits", "item_words"])
+                types = [b.column(id_col).type, item_type, *[pa.int32()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
         return docs.select(id_col, text_col).mapInArrow(run, out)
 
-    found = [search(i) for i in _indexes(benchmark, item_col, item_text_col, similarity)]
+    scratch, found = Scratch(docs.sparkSession), []
+    for index in _indexes(benchmark, item_col, item_text_col, similarity):  # one index at a time is held and sent
+        if found:
+            found[-1] = found[-1] if hasattr(found[-1], "_scratch_path") else scratch.save(found[-1])
+        found.append(search(index) if not found else scratch.save(search(index)))
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], out)
 
 

@@ -159,7 +159,9 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str = "doc_id", r
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> RuleModel:
     sample = labelled_sample(labels, label_col, id_col)
     own = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)  # at most SAMPLE_ROWS rows
-    got = own.select(id_col, "y", *[c.alias(k) for k, c in statistics(F.col(text_col)).items()]).orderBy(id_col, *STATISTICS).toArrow()
+    stats = F.struct(*[c.alias(k) for k, c in statistics(F.col(text_col)).items()])
+    one = own.select(F.col(id_col).alias("id"), "y", stats.alias("s")).groupBy("id", "y").agg(F.min("s").alias("s"))  # rows that repeat an id count once
+    got = one.select("id", "y", "s.*").toArrow().sort_by([("id", "ascending")])  # sorted here: a sort in Spark would read the texts twice
     return fit(np.column_stack([got.column(k).to_numpy() for k in STATISTICS]).astype(np.float64), got.column("y").to_numpy().astype(np.float64))
 
 

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -252,6 +253,23 @@ def test_decontamination_finds_every_item_at_the_full_bound(spark):
     assert {(i, i) for i, _ in items} <= got
 
 
+def test_decontamination_in_pieces_and_with_ids_of_any_type(spark, planted, monkeypatch):
+    docs, bench, _ = planted
+    want = Counter(tuple(r) for r in decontaminate.contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 12)
+    assert Counter(tuple(r) for r in decontaminate.contaminated(docs, bench).collect()) == want
+    monkeypatch.undo()
+    same = decontaminate.contaminated(docs.select(F.col("doc_id").cast("smallint").alias("id"), "text"), bench.select(F.col("item_id").cast("string").alias("id"), "text"), id_col="id", item_col="id")
+    assert same.columns[:2] == ["id", "item_id"]
+    assert Counter((r.id, int(r.item_id), *r[2:]) for r in same.collect()) == want
+
+
+def test_pieces_are_bounded_in_rows_and_bytes():
+    b = pa.RecordBatch.from_pydict({"t": ["x" * n for n in (5, 3000, 10, 4000, 1, 1, 1)]})
+    got = list(common.pieces([b], 4, 3500))
+    assert all(x.num_rows <= 4 and (x.num_rows == 1 or x.nbytes <= 3500) for x in got) and [t for x in got for t in x.to_pydict()["t"]] == b.to_pydict()["t"]
+
+
 def test_decontamination_of_empty_tables(spark, planted):
     docs, bench, _ = planted
     assert decontaminate.contaminated(empty(spark), bench).collect() == []
