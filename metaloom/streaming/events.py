@@ -25,15 +25,30 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return g.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
+BUCKETS = 256
+
+
 def merge_into(path: str, keys: list[str], merge):
-    """A foreachBatch function: each batch of witnesses is added to those at ``path`` once (by batch id), and ``path``-facts is rebuilt from all.
+    """A foreachBatch function: a batch of witnesses is added to those at ``path`` once (by batch id), and the facts of the buckets of keys it touches are merged anew.
 
-    Batches are partitions, so a batch that is run again overwrites itself.
+    Witnesses and ``path``-facts are partitioned by a hash of the key, so the cost of a batch follows the
+    buckets it touches, and readers of other buckets see no change. A batch that is run again replaces its
+    own witnesses. ``read_facts`` reads the facts.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/witnesses/batch={batch_id}")
-        merge(spark.read.parquet(f"{path}/witnesses").drop("batch"), keys).write.mode("overwrite").parquet(f"{path}-facts")
+        own = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        own.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/witnesses/_batch={batch_id}")
+        touched = [r[0] for r in own.select("_bucket").distinct().collect()]  # at most BUCKETS
+        if not touched:
+            return
+        all_of = spark.read.option("basePath", f"{path}/witnesses").parquet(f"{path}/witnesses").where(F.col("_bucket").isin(touched)).drop("_batch", "_bucket")
+        facts = merge(all_of, keys).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{path}-facts")
 
     return add
+
+
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}-facts").drop("_bucket")
