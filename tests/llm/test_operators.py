@@ -504,6 +504,39 @@ def test_deobfuscation(toxic):
         assert read.text(plain) == re.sub(r"\W", "", plain)
 
 
+def test_decoding_equals_the_best_of_all_readings(toxic):
+    """Viterbi against every path through the lattice, with the same model and costs."""
+    model, rng = toxic.characters, random.Random(4)
+
+    def value(text, cost):
+        a = b = 0
+        total = -cost
+        for c in text + " ":
+            k = toxicity._CODE.get(c, 1)
+            total += toxicity.LM_WEIGHT * float(model[a, b, k])
+            a, b = b, k
+        return total
+
+    for _ in range(150):
+        word = "".join(rng.choice("aeinrst10!$.@-") for _ in range(rng.randint(1, 7)))
+        every = [("", 0.0)]
+        for ways in toxicity.lattice(word):
+            every = [(t + x, c + y) for t, c in every for x, y in ways]
+        best = max(value(t, c) for t, c in every)
+        got = toxicity.restore(word, model)
+        assert any(t.strip() == got and abs(value(t, c) - best) < 1e-4 for t, c in every), (word, got)
+
+
+def test_quality_statistics_equal_plain_counts(spark, docs):
+    rows = docs.select("text", *[c.alias(k) for k, c in quality.statistics(F.col("text")).items()]).collect()
+    for r in rows:
+        t = r.text or ""
+        n, words, lines = max(1, len(t)), re.split(r"[ \t\n\x0b\f\r]+", t), t.split("\n")
+        want = {"chars": math.log1p(len(t)), "words": math.log1p(len(words)), "word_length": len(t) / len(words), "distinct_words": len(set(words)) / len(words), "distinct_lines": len(set(lines)) / len(lines), "line_length": math.log1p(len(t) / len(lines))}
+        want |= {k: sum(c in v for c in t) / n for k, v in quality._SETS.items()}
+        assert all(abs(r[k] - want[k]) < 1e-9 for k in want), (t[:40], r, want)
+
+
 def test_rare_words_that_separate_enter_the_lexicon(toxic):
     assert {"moron", "loser", "pathetic"} <= set(toxic.lexicon)
     a, b = np.array([8.0, 8.0, 40.0, 350.0]), np.array([0.0, 60.0, 310.0, 2803.0])
