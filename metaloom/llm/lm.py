@@ -324,16 +324,20 @@ class Chunk:
         return f, [one, two, both ^ (both >> np.uint32(15))]
 
     def halves(self, f: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-        """By halving: the positions that have it, their weights' places by template, whether they are in the upper half, and its log odds."""
-        at, shift, bits = np.arange(len(f)), np.uint32(33 - self.rows.bit_length()), self.bits[f]
-        for k in range(len(self.nodes)):
-            more = np.flatnonzero(bits > k)
-            if len(more) < len(bits):
-                at, bits, f, contexts = at[more], bits[more], f[more], [c[more] for c in contexts]
-            if not len(at):
+        """By halving: the positions that have it, their weights' places by template, whether they are in the upper half, and its log odds.
+
+        Positions come sorted by how many halvings they have, so each halving's are the first of the one before.
+        """
+        bits, shift = self.bits[f], np.uint32(33 - self.rows.bit_length())
+        order = np.argsort(np.int8(127) - bits, kind="stable")  # by radix
+        f, contexts = f[order], [c[order] for c in contexts]
+        have = len(bits) - np.cumsum(np.bincount(bits, minlength=len(self.nodes) + 1))
+        for k, n in enumerate(have[: len(self.nodes)].tolist()):
+            if not n:
                 return
-            node = self.nodes[k][f]
-            yield at, [(c ^ node) * _ODD >> shift for c in contexts], self.upper[k][f], self.odds[k][f]
+            own = f[:n]
+            node = self.nodes[k].take(own)
+            yield order[:n], [(c[:n] ^ node) * _ODD >> shift for c in contexts], self.upper[k].take(own), self.odds[k].take(own)
 
 
 def class_rows(contexts: list[np.ndarray], rows: int) -> list[np.ndarray]:
@@ -394,7 +398,7 @@ def chunk_sums(x: Chunk, number: int, weights: list[np.ndarray], total: list[np.
         places, left = [], []
         for _, features, up, z in x.halves(f[part], [c[part] for c in contexts]):
             for w, r in zip(weights[1], features):
-                z = z + w[r]
+                z += w.take(r)
             places.append(features)
             left.append(up - 1 / (1 + np.exp(-z)))
         if places:
@@ -469,11 +473,15 @@ def logs(x: Chunk, weights: list[np.ndarray], f: np.ndarray, contexts: list[np.n
         z = log_softmax(share, weights[0], [r[part] for r in rows])
         out[part] += z[np.arange(len(z)), cls[part]]
     for part in _batches(len(f), BATCH):
-        own = out[part]
+        first, total = None, np.zeros(part.stop - part.start)
         for at, features, up, z in x.halves(f[part], [c[part] for c in contexts]):
             for w, r in zip(weights[1], features):
-                z = z + w[r]
-            own[at] -= np.logaddexp(0, np.where(up, -z, z))
+                z += w.take(r)
+            z[up == 1] *= -1
+            total[: len(at)] -= np.log1p(np.exp(np.minimum(z, 80)))
+            first = at if first is None else first
+        if first is not None:
+            out[part][first] += total[: len(first)]
     return out
 
 
