@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..plans import metapath
 from ..sources.graph_view import Graph
 from . import graph as g_ops
 
@@ -159,6 +160,55 @@ def skeleton_redundancy(rows: DataFrame, skeleton: Column) -> DataFrame:
     return per.groupBy("copies").agg(F.count("*").alias("skeletons"), F.sum("copies").alias("rows"))
 
 
+def reach_settings(g: Graph, path, degree: DataFrame, hubs: DataFrame, oversized: DataFrame) -> DataFrame:
+    """(setting, starts, ends, pairs, paths): the reach of a metapath as it is, without hubs, without oversized nodes, and without either."""
+    none = hubs.where(F.lit(False)).select("id")
+    blocked = {"as_is": none, "hubs_off": hubs.select("id"), "cap_off": oversized.select("id"), "both_off": hubs.select("id").unionByName(oversized.select("id")).distinct()}
+    out = None
+    for name, ids in blocked.items():
+        one = metapath.reach(metapath.walk(g, path, degree, blocked=ids)).select(F.lit(name).alias("setting"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def file_coverage(rows: DataFrame, by: list[str], eligible: Column, key: list[str], ordinal: list[str]) -> DataFrame:
+    """(by..., rows, eligible, edges, duplicates): of eligible rows with one key over all files, the first by ordinal is the edge."""
+    ok = F.coalesce(eligible, F.lit(False))
+    first = rows.where(ok).groupBy(*key).agg(F.min(F.struct(*ordinal, *by)).alias("_f"))
+    edges = first.groupBy(*[F.col(f"_f.{c}").alias(c) for c in by]).agg(F.count("*").alias("edges"))
+    out = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(ok).alias("eligible")).join(edges, by, "left")
+    return out.select(*by, "rows", "eligible", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), (F.col("eligible") - F.coalesce("edges", F.lit(0))).alias("duplicates"))
+
+
+def target_index(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
+    """(taxon, family, id): the last node (by ordinal) of each family of a species; taxa(any_taxon, taxon) says which isolate belongs to which."""
+    own = nodes.where("family is not null").join(taxa.withColumnRenamed("taxon", "species"), F.col("taxon_id") == F.col("any_taxon"))
+    return own.groupBy(F.col("species").alias("taxon"), "family").agg(F.max_by("id", "ordinal").alias("id"))
+
+
+def known_keys(layers: list[DataFrame], cls: str, key: str) -> DataFrame:
+    """(key): the distinct keys that nodes of a class have in earlier layers."""
+    out = layers[0]
+    for x in layers[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out.where((F.col("class") == cls) & F.col(key).isNotNull()).select(key).distinct()
+
+
+def name_index(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, id): lower-case names that one node has; a name of several nodes is left out."""
+    n = names.join(nodes.select("id"), "id", "left_semi").select(F.lower(F.trim("name")).alias("name"), "id").where("name <> ''")
+    return n.groupBy("name").agg(F.count_distinct("id").alias("c"), F.min("id").alias("id")).where("c = 1").select("name", "id")
+
+
+def family_survey(organisms: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """organisms(family, taxon) counted, with how many rows each table(taxon) has for the family; absent is zero."""
+    out = organisms.groupBy("family").agg(F.count_distinct("taxon").alias("organisms"))
+    for name, t in tables.items():
+        n = t.groupBy("taxon").agg(F.count("*").alias("_n")).join(organisms.select("family", "taxon").distinct(), "taxon").groupBy("family").agg(F.sum("_n").alias(name))
+        out = out.join(n, "family", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    return out
+
+
 def detectable_auc(n_pos: int, n_neg: int, z: float) -> float:
     """The least AUC whose interval's lower bound clears one half, by bisection."""
     low, high = 0.5, 1.0

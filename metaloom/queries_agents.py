@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import scalar, stats
-from .operators import ask, assemble, graph, transforms, validate
+from .operators import ask, assemble, graph, studies, transforms, validate
 from .operators.validate import NodeClass, Property
 from .plans import metapath
 from .queries import WITH_EDGES, WITH_GRAPH, query, r
@@ -156,3 +156,52 @@ SELECT metapath, coalesce(string_agg(p, '|' ORDER BY p) FILTER (p NOT IN (SELECT
 def absence_reasons(spark, sf):
     paths = [metapath.parse("M1", ["Order", "CONTAINS", "Part", "LOST", "Part"]), metapath.parse("M2", ["Supplier", "IN", "Nation", "IN_REGION", "Region"])]
     return metapath.missing_predicates(star(spark, sf), paths)
+
+
+# ---------------------------------------------------------------- reach, coverage, indexes
+
+
+@query(WITH_GRAPH + """, w AS (SELECT subject AS s, object AS p FROM edges WHERE predicate = 'PLACED'), f AS (SELECT subject AS p, object AS t FROM edges WHERE predicate = 'FROM'),
+hub AS (SELECT id FROM degree WHERE degree > 9), big AS (SELECT id FROM nodes WHERE class = 'Order' AND id LIKE '%7'), x AS (SELECT 'as_is' AS setting, s, p, t FROM w JOIN f USING (p) UNION ALL SELECT 'hubs_off', s, p, t FROM w JOIN f USING (p) WHERE p NOT IN (SELECT id FROM hub)
+UNION ALL SELECT 'cap_off', s, p, t FROM w JOIN f USING (p) WHERE p NOT IN (SELECT id FROM big) UNION ALL SELECT 'both_off', s, p, t FROM w JOIN f USING (p) WHERE p NOT IN (SELECT id FROM hub) AND p NOT IN (SELECT id FROM big))
+SELECT setting, count(DISTINCT s) AS starts, count(DISTINCT t) AS ends, count(DISTINCT (s, t)) AS pairs, count(*) AS paths FROM x GROUP BY 1""")
+def reach_settings(spark, sf):
+    g = star(spark, sf)
+    deg = graph.degree(g.edges)
+    path = metapath.parse("m", ["Customer", "PLACED", "Order", "FROM", "Supplier"])
+    return studies.reach_settings(g, path, deg, deg.where("degree > 9").select("id"), g.nodes.where("class = 'Order' and id like '%7'").select("id"))
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS file, o_custkey AS host, o_orderpriority AS method, o_orderkey AS line, o_totalprice > 100000 AS ok FROM orders), f AS (SELECT arg_min(file, line) AS file FROM r WHERE ok GROUP BY host, method), e AS (SELECT file, count(*) AS n FROM f GROUP BY 1)
+SELECT r.file, count(*) AS rows, count(*) FILTER (ok) AS eligible, coalesce(any_value(n), 0) AS edges, count(*) FILTER (ok) - coalesce(any_value(n), 0) AS duplicates FROM r LEFT JOIN e ON e.file = r.file GROUP BY 1""")
+def file_coverage(spark, sf):
+    o = load(spark, sf, "orders").select(F.col("o_orderstatus").alias("file"), F.col("o_custkey").alias("host"), F.col("o_orderpriority").alias("method"), F.col("o_orderkey").alias("line"), "o_totalprice")
+    return studies.file_coverage(o, ["file"], F.col("o_totalprice") > 100000, ["host", "method"], ["line"])
+
+
+@query("SELECT s_nationkey % 5 AS taxon, CASE WHEN s_suppkey % 3 > 0 THEN concat('F', s_suppkey % 3) END AS family, max(s_suppkey) AS id FROM supplier WHERE s_suppkey % 3 > 0 GROUP BY 1, 2")
+def viral_target_index(spark, sf):
+    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("taxon_id"), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("F"), F.col("s_suppkey") % 3)).alias("family"), F.col("s_suppkey").alias("ordinal"))
+    taxa = load(spark, sf, "nation").select(F.col("n_nationkey").alias("any_taxon"), (F.col("n_nationkey") % 5).alias("taxon"))
+    return studies.target_index(s, taxa)
+
+
+@query("SELECT DISTINCT key FROM (SELECT concat(p_brand, p_size) AS key FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_type FROM part WHERE p_size > 30)")
+def known_keys(spark, sf):
+    p = load(spark, sf, "part")
+    a = p.select(F.when(F.col("p_size") % 2 == 0, "M").otherwise("X").alias("class"), F.concat("p_brand", "p_size").alias("key"))
+    return studies.known_keys([a, p.where("p_size > 30").select(F.lit("M").alias("class"), F.col("p_type").alias("key"))], "M", "key")
+
+
+@query("SELECT lower(trim(s_name)) AS name, 'S:' || min(s_suppkey) AS id FROM supplier WHERE trim(s_name) <> '' GROUP BY 1 HAVING count(*) = 1")
+def name_index(spark, sf):
+    g = star(spark, sf)
+    return studies.name_index(g.nodes.where("class = 'Supplier'"), load(spark, sf, "supplier").select(F.concat(F.lit("S:"), "s_suppkey").alias("id"), F.col("s_name").alias("name")))
+
+
+@query("""SELECT r_name AS family, count(DISTINCT n_nationkey) AS organisms, (SELECT count(*) FROM supplier JOIN nation m ON s_nationkey = m.n_nationkey WHERE m.n_regionkey = r_regionkey) AS targets,
+(SELECT count(*) FROM customer JOIN nation m ON c_nationkey = m.n_nationkey WHERE m.n_regionkey = r_regionkey AND c_acctbal < 0) AS screens FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey""")
+def family_survey(spark, sf):
+    n, g = load(spark, sf, "nation"), load(spark, sf, "region")
+    organisms = n.join(g, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("family"), F.col("n_nationkey").alias("taxon"))
+    return studies.family_survey(organisms, {"targets": load(spark, sf, "supplier").select(F.col("s_nationkey").alias("taxon")), "screens": load(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("taxon"))})
