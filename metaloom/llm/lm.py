@@ -292,14 +292,20 @@ def plant(counts: DataFrame) -> Tree:
 
 
 class Chunk:
-    """A chunk's texts, words and features."""
+    """A chunk's texts, words and features; with ``number`` only the texts of that round and the words they have."""
 
-    def __init__(self, row: dict, tree: Tree, rows: int):
+    def __init__(self, row: dict, tree: Tree, rows: int, number: int | None = None):
         self.tree, self.rows = tree, rows
         self.tags, self.n = unpack(row["tags"], True), unpack(row["n"]).astype(np.int64)
         self.flat, self.size = _unsqueeze(row["ids"]), unpack(row["size"]).astype(np.int64)
-        self.starts = np.cumsum(self.size) - self.size
         self.held, self.round = np.frombuffer(row["held"], bool), np.frombuffer(row["round"], np.uint8)
+        if number is not None:
+            ends, (low, high) = np.append(0, np.cumsum(self.size)), np.searchsorted(self.round, [number, number + 1])
+            self.flat, self.size, self.held = self.flat[ends[low] : ends[high]], self.size[low:high], self.held[low:high]
+            met = np.zeros(len(self.tags), bool)
+            met[self.flat] = True
+            self.flat, self.tags, self.n = (np.cumsum(met) - 1).astype(np.int32)[self.flat], self.tags[met], self.n[met]
+        self.starts = np.cumsum(self.size) - self.size
         self.cls = tree.class_of(self.tags, self.n)
         self.bits, self.odds = tree.bits[self.cls].astype(np.int8), tree.odds(self.cls, self.tags)
         low, high = (self.tags & np.uint64(0xFFFFFFFF)).astype(np.uint32), (self.tags >> np.uint64(32)).astype(np.uint32)
@@ -373,15 +379,14 @@ def _unsqueeze_block(data: bytes) -> np.ndarray:
     return np.stack([both[:BLOCK].astype(np.float64), (both[BLOCK:] << np.uint32(8)).view(np.float32).astype(np.float64)])
 
 
-def chunk_sums(x: Chunk, number: int, weights: list[np.ndarray], total: list[np.ndarray]) -> None:
-    """Adds a chunk's sums over its training documents of one round to ``total``: by table of weights, two rows.
+def chunk_sums(x: Chunk, weights: list[np.ndarray], total: list[np.ndarray]) -> None:
+    """Adds a chunk's sums over its training documents to ``total``: by table of weights, two rows.
 
     Of classes: observed and expected counts. Of halves: how often the node was met with the feature, and the
     upper half's observed less expected counts.
     """
-    low, high = np.searchsorted(x.round, [number, number + 1]).tolist()
-    f, contexts = x.part(low, high)
-    train = ~np.repeat(x.held[low:high], x.size[low:high])
+    f, contexts = x.part(0, len(x.size))
+    train = ~np.repeat(x.held, x.size)
     f, contexts = f[train], [c[train] for c in contexts]
     share, cls, width = x.tree.class_share(), x.cls[f], x.tree.classes
     rows, height = class_rows(contexts, x.rows), weights[0].shape[1]
@@ -421,7 +426,7 @@ def feature_sums(ready: DataFrame, tree: Tree, weights: list[np.ndarray], number
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((2, n)) for n in length]
         for b in pieces(batches, 1):
-            chunk_sums(Chunk(b.to_pylist()[0], tree, rows), number, weights, total)
+            chunk_sums(Chunk(b.to_pylist()[0], tree, rows, number), weights, total)
         for k, t in enumerate(total):
             for b in range(0, length[k], BLOCK):
                 if t[0, b : b + BLOCK].any() or t[1, b : b + BLOCK].any():
