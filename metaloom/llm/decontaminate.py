@@ -3,13 +3,16 @@
 Texts are sequences of words (lower case, letters and digits only). A random walk (CGK) maps a window of
 words to a string of fixed length: at step j it writes the word under the cursor, and a hash bit of (j,
 word) says whether the cursor moves on; windows at small edit distance become strings at small Hamming
-distance. ``REPS`` samples of ``SAMPLED`` coordinates each are the LSH keys. Every benchmark item is cut
-into blocks of ``BLOCK`` words, every ``STRIDE`` words; every window of that size in a document (by a
+distance. ``REPS`` samples of ``SAMPLED`` coordinates each are the LSH keys; every ``PER_WALK`` of them have
+a walk with hash bits of its own, so that an edit after which one walk diverges does not make all of them
+miss together. Every benchmark item is cut into blocks of ``BLOCK`` words, every ``STRIDE`` words (items of
+fewer than ``SHORT`` words at every word); every window of that size in a document (by a
 count that an edit distance within the bound implies, only those with enough benchmark words) is looked
 up, and each hit is verified by the exact edit distance of the whole item against its place in the
 document. An item is found where at most ``1 - similarity`` of its words are edited.
 
-Sampled keys miss some places near that bound, so the items' pieces are looked up too: an item that may
+Keys and walks find at least ``TARGET`` of the items that have all the edits allowed, at every length (tested
+on their own). They miss some places near that bound, so the items' pieces are looked up too: an item that may
 have e edits is cut into e + 1 pieces, of which one at least is left as it was. Every place within the
 bound is thus a candidate: the recall is 1, whatever the walk does (but for equal hashes, which only add
 candidates).
@@ -35,7 +38,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, pieces, strings
 
-BLOCK, STRIDE, REPS, SAMPLED, SIMILARITY, ITEMS_AT_ONCE = 12, 3, 40, 6, 0.8, 20_000
+BLOCK, STRIDE, REPS, PER_WALK, SAMPLED, SIMILARITY, ITEMS_AT_ONCE = 12, 3, 40, 5, 6, 0.8, 20_000
+TARGET = 0.95
+SHORT = 24  # words below which an item has a block at every word
 MEMO_WORDS = 300_000
 _JUNK = re.compile(r"[\W_]+")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -100,21 +105,21 @@ class Index:
         self.items = [(k, w) for k, t in items if (w := words_of(t or ""))]
         self.vocab = {w: i for i, w in enumerate(sorted({w for _, ws in self.items for w in ws}), 1)}
         rng = np.random.default_rng(7)
-        self.bits = rng.integers(0, 2**63, len(self.vocab) + 1, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, len(self.vocab) + 1).astype(np.uint64)
-        self.mix = rng.integers(1, 2**62, 3 * BLOCK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.bits = rng.integers(0, 2**63, (-(-reps // PER_WALK), len(self.vocab) + 1), dtype=np.uint64)  # 2 * BLOCK of them are used
+        self.mix = rng.integers(1, 2**62, 2 * BLOCK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.ids = [np.array([self.vocab[w] for w in ws], np.int32) for _, ws in self.items]
         self.positions: dict[int, dict[int, int]] = {}
         self.reps, blocks = reps, defaultdict(list)
         for n, ids in enumerate(self.ids):
-            size = min(BLOCK, len(ids))
-            for at in {*range(0, len(ids) - size + 1, STRIDE), len(ids) - size}:
+            size, stride = min(BLOCK, len(ids)), 1 if len(ids) < SHORT else STRIDE
+            for at in {*range(0, len(ids) - size + 1, stride), len(ids) - size}:
                 blocks[size].append((n, at, ids[at : at + size]))
         self.tables = {}
         for size, found in sorted(blocks.items()):
-            strings_ = self.embed(np.concatenate([np.append(b, np.zeros(size, np.int32)) for _, _, b in found]), np.arange(len(found)) * 2 * size, size)
+            words, starts = np.concatenate([np.append(b, np.zeros(size, np.int32)) for _, _, b in found]), np.arange(len(found)) * 2 * size
             where = np.array([(n, at) for n, at, _ in found], np.int32)
             table = []
-            for sig in self.signatures(strings_, size):
+            for sig in self.signatures(words, starts, size):
                 order = np.argsort(sig, kind="stable")
                 low = np.zeros(1 << 18, bool)
                 low[(sig >> np.uint64(46)).astype(np.int64)] = True
@@ -141,23 +146,24 @@ class Index:
             sig ^= sig >> np.uint64(29)
         return sig * self.mix[0]
 
-    def embed(self, x: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-        """The walk's output, one column per window; past its end a window has zeros."""
-        at, stop = starts.astype(np.int64), starts + size
-        out = np.zeros((3 * size, len(starts)), np.int32)
-        for j in range(3 * size):
+    def embed(self, x: np.ndarray, starts: np.ndarray, size: int, walk: int) -> np.ndarray:
+        """A walk's output, one column per window; past its end a window has zeros."""
+        at, stop, bits = starts.astype(np.int64), starts + size, self.bits[walk]
+        out = np.zeros((2 * size, len(starts)), np.int32)
+        for j in range(2 * size):
             w = np.where(at < stop, x[np.minimum(at, len(x) - 1)], 0)
             out[j] = w
-            at += ((self.bits[w] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
+            at += ((bits[w] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
         return out
 
-    def signatures(self, walked: np.ndarray, size: int) -> Iterator[np.ndarray]:
-        """Hash keys of the sampled coordinates, one array per repetition."""
+    def signatures(self, x: np.ndarray, starts: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        """Hash keys of the sampled coordinates, one array per repetition; every ``PER_WALK`` repetitions have a walk of their own."""
         rng = np.random.default_rng(size)
-        for _ in range(self.reps):
-            picked = rng.choice(2 * size, min(SAMPLED, 2 * size), replace=False)
-            sig = np.zeros(walked.shape[1], np.uint64)
-            for c in picked:
+        for r in range(self.reps):
+            if r % PER_WALK == 0:
+                walked = self.embed(x, starts, size, r // PER_WALK)
+            sig = np.zeros(len(starts), np.uint64)
+            for c in rng.choice(2 * size, min(SAMPLED, 2 * size), replace=False):
                 sig = (sig ^ walked[c].astype(np.uint64)) * self.mix[c]
                 sig ^= sig >> np.uint64(29)
             yield sig * self.mix[0]
@@ -182,8 +188,7 @@ class Index:
             starts = np.flatnonzero(known[size:] - known[:-size] >= need)
             if not len(starts):
                 continue
-            walked = self.embed(x, starts, size)
-            for (sigs, where, low), sig in zip(table, self.signatures(walked, size)):
+            for (sigs, where, low), sig in zip(table, self.signatures(x, starts, size)):
                 maybe = np.flatnonzero(low[(sig >> np.uint64(46)).astype(np.int64)])
                 a, b = np.searchsorted(sigs, sig[maybe], "left"), np.searchsorted(sigs, sig[maybe], "right")
                 for i in np.flatnonzero(b > a):

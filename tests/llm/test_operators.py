@@ -253,6 +253,26 @@ def test_decontamination_finds_every_item_at_the_full_bound(spark):
     assert {(i, i) for i, _ in items} <= got
 
 
+@pytest.mark.parametrize("size", [8, 12, 15, 16, 17, 19, 25, 40])
+def test_walks_and_sampled_keys_alone_reach_their_target_recall(size):
+    rng = np.random.default_rng(size)
+    vocab = [f"w{i}" for i in range(3000)]
+    draw = lambda n: [vocab[i] for i in rng.integers(0, len(vocab), n)]
+    items, edits, hits, tries = [draw(size) for _ in range(40)], decontaminate.edits_allowed(size, decontaminate.SIMILARITY), 0, 0
+    index = decontaminate.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    for i, item in enumerate(items):
+        for kind in ("substitute", "insert", "delete", "any"):
+            own = list(item)
+            for at in sorted(rng.choice(size, edits, replace=False).tolist(), reverse=True):
+                what = ("substitute", "insert", "delete")[rng.integers(3)] if kind == "any" else kind
+                own[at : at + (what != "insert")] = [] if what == "delete" else draw(1)
+            text = draw(30) + own + draw(30)
+            found = index.places(np.array([index.vocab.get(w, 0) for w in text] + [0] * decontaminate.BLOCK, np.int32))
+            hits += any(abs(s - 30) <= edits for s in found.get(i, ()))
+            tries += 1
+    assert hits / tries >= decontaminate.TARGET
+
+
 def test_decontamination_in_pieces_and_with_ids_of_any_type(spark, planted, monkeypatch):
     docs, bench, _ = planted
     want = Counter(tuple(r) for r in decontaminate.contaminated(docs, bench).collect())
