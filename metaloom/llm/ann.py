@@ -57,22 +57,83 @@ def bounds(q8: np.ndarray, qs: np.ndarray, qn: np.ndarray, ql: np.ndarray, c8: n
     return rough - error, rough + error
 
 
+def prepared(tiles: np.ndarray, scales: np.ndarray, norms: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, float]:
+    """Candidates as float32 rows, over the largest norm: the product with a row of ``asking`` is an upper bound, whatever float32 rounds off."""
+    top, d = norms.max(), tiles.shape[1]
+    rounding = 8 * (d + 8) * 2.0**-24 * (norms + left) / top + 1e-30  # a row of asking has a norm of at most 4, for left <= norms
+    return np.concatenate([tiles * (scales / top)[:, None], norms[:, None] / top, (left / top + rounding)[:, None]], axis=1, dtype=np.float32, casting="same_kind"), top
+
+
+def asking(tiles: np.ndarray, scales: np.ndarray, norms: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Queries as float32 rows, over their norms."""
+    return np.concatenate([tiles * (scales / norms)[:, None], left[:, None] / norms[:, None], 1 + left[:, None] / norms[:, None]], axis=1, dtype=np.float32, casting="same_kind")
+
+
+def raised(floors: np.ndarray, i: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The k largest of each row's floors and of the bounds found for it (``i`` ascending)."""
+    rows, start, n = np.unique(i, return_index=True, return_counts=True)
+    if len(rows):
+        k = floors.shape[1]
+        new = np.full((len(rows), k + n.max()), -np.inf)
+        new[:, :k] = floors[rows]
+        new[np.repeat(np.arange(len(rows)), n), k + np.arange(len(i)) - np.repeat(start, n)] = low
+        floors[rows] = np.partition(new, n.max(), axis=1)[:, -k:]
+    return floors
+
+
 def best_of_cell(asked: tuple, had: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, candidate place, lower, upper) of the pairs that can be among a query's k best; ``asked`` and ``had`` hold rows, int8 vectors, scales, norms and left norms."""
-    qrow, q8, *qrest = asked
-    crow, c8, *crest = had
-    q32 = q8.astype(np.float32)
+    """(query place, candidate place, lower, upper) of the pairs that can be among a query's k best; ``asked`` and ``had`` hold rows, int8 vectors, scales, norms and left norms.
+
+    Tiles bound both sides, so memory grows with the rows of a cell and not with its pairs. The first tile has the full
+    bounds of all its pairs; later ones have one float32 product, an upper bound, and lower bounds only where that reaches the floor.
+    """
+    (qrow, *asks), (crow, *cands) = asked, had
+    every, top = prepared(*cands)
+    found = []
+    for at in range(0, len(qrow), max(1, TILE // 4)):
+        own = slice(at, at + max(1, TILE // 4))
+        i, j, low, high = _best_of_tile(qrow[own], [x[own] for x in asks], crow, cands, every, top, k)
+        found.append((i + at, j, low, high))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _best_of_tile(qrow: np.ndarray, asks: list[np.ndarray], crow: np.ndarray, cands: list[np.ndarray], every: np.ndarray, top: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    a, norm, n = asking(*asks), asks[2], max(1, TILE // 8)
     floors = np.full((len(qrow), k), -np.inf)  # heaps of the k largest lower bounds
     kept: list[tuple[np.ndarray, ...]] = []
-    for at in range(0, len(crow), TILE):
-        part = slice(at, at + TILE)
-        low, high = bounds(q32, *qrest, c8[part].astype(np.float32), *(x[part] for x in crest))
-        own = qrow[:, None] == crow[None, part]
-        low[own], high[own] = -np.inf, -np.inf
-        both = np.concatenate([floors, low], axis=1)
-        floors = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-        i, j = np.nonzero((high >= floors.min(axis=1)[:, None]) & ~own)
-        kept.append((i, j + at, low[i, j], high[i, j]))
+    at, held, least = 0, 0, 1 << 20
+    while at < len(crow):
+        part = slice(at, at + n)
+        if at == 0:
+            low, high = (x.ravel() for x in bounds(asks[0].astype(np.float32), *asks[1:], cands[0][part].astype(np.float32), *(x[part] for x in cands[1:])))
+            where = np.arange(len(low))
+        else:
+            with np.errstate(all="ignore"):
+                floor = floors.min(axis=1) / norm / top
+            floor[~np.isfinite(floor) | (norm * top < 1e-290)] = -np.inf
+            product = a @ every[part].T
+            where = np.flatnonzero(product >= np.nextafter(floor.astype(np.float32), np.float32(-np.inf))[:, None])
+        i, j = np.divmod(where, len(crow[part]))
+        other = qrow[i] != crow[part][j]
+        i, j, where = i[other], j[other], where[other]
+        if at == 0:
+            low, high = low[where], high[where]
+        else:
+            over = product.ravel()[where].astype(np.float64)
+            error = (a[i, -2:].astype(np.float64) * every[part][j, -2:]).sum(axis=1)
+            low, high = (over - 2.001 * error) * norm[i] * top, over * norm[i] * top
+        floors = raised(floors, i, low)
+        kept.append((i, j + at, low, high))
+        held += len(i)
+        at, n = at + n, min(TILE, n * 2)
+        if held > least:  # what lower floors let in goes before more is held
+            kept = [_reaching(kept, floors)]
+            held = len(kept[0][0])
+            least = max(1 << 20, 2 * held)
+    return _reaching(kept, floors)
+
+
+def _reaching(kept: list[tuple[np.ndarray, ...]], floors: np.ndarray) -> tuple[np.ndarray, ...]:
     i, j, low, high = (np.concatenate(x) for x in zip(*kept))
     sure = high >= floors.min(axis=1)[i]
     return i[sure], j[sure], low[sure], high[sure]

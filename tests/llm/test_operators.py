@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -451,6 +452,30 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
         assert Counter(tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20).collect()) == want
 
 
+def test_a_cell_holds_tiles_not_products(monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(5000, 32)) * 10.0 ** rng.integers(-2, 3, (5000, 1))
+    v[100:160] = v[7]
+    v[300:2300] = v[8] * 3
+    had = (np.arange(5000), *ann.quantise(v))
+    asked = tuple(x[::2] for x in had)
+    for tile in (ann.TILE, 64):
+        monkeypatch.setattr(ann, "TILE", tile)
+        tracemalloc.start()
+        q, c, low, high = ann.best_of_cell(tuple(x[:40] for x in asked), had, 20)
+        best = np.sort(np.where(had[0] == asked[0][:40, None], -np.inf, v[::2][:40] @ v.T), axis=1)[:, -20]
+        exact = (v[::2][q] * v[c]).sum(axis=1)
+        assert (low <= exact).all() and (exact <= high).all() and not (asked[0][q] == c).any()
+        for i in range(40):
+            want = set(np.flatnonzero((v[2 * i] @ v.T > best[i] * (1 + 1e-12 * np.sign(best[i]))) & (had[0] != 2 * i)).tolist())
+            assert want <= set(c[q == i].tolist()) and (q == i).sum() >= 20
+        tracemalloc.reset_peak()
+        few = tuple(x[2300:] for x in had)
+        assert len(ann.best_of_cell(asked, few, 20)[0]) >= 20 * 2500
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20  # 2,500 x 2,048 products in double precision alone are 41 MB, and there were several
+        tracemalloc.stop()
+
+
 def test_bounds_hold_with_rounding_at_many_dimensions():
     rng = np.random.default_rng(3)
     for d in (3, 64, 3000):
