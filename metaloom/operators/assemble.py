@@ -67,8 +67,8 @@ def ladder(value: Column, steps: list[str]) -> Column:
 
 
 def first_present(value: Column, order: Column) -> Column:
-    """Aggregate: the first value present in the witnesses' order."""
-    return F.min_by(value, F.when(value.isNotNull(), order))
+    """Aggregate: the first value present in the witnesses' order; the smallest of those that share a place."""
+    return F.min_by(value, F.when(value.isNotNull(), F.struct(order, value)))
 
 
 def merged_sources(source: Column) -> Column:
@@ -126,7 +126,7 @@ def fold_potency(witnesses: DataFrame, keys: list[str], field: str = "potency")
 def merge_nodes(rows: DataFrame, properties: list[str]) -> DataFrame:
     """(id, class, properties..., conflicts): the first class wins and other classes' rows are left out; nulls are filled in layer order, nothing is overwritten; ``conflicts`` counts properties with different values."""
     order = F.struct("layer_rank", "line_no")
-    first = rows.groupBy("id").agg(F.min_by("class", order).alias("class"))
+    first = rows.groupBy("id").agg(F.min_by("class", F.struct(order, "class")).alias("class"))
     own = rows.join(first, ["id", "class"])
     conflict = [(F.count_distinct(p) > 1).cast("int") for p in properties]
     return own.groupBy("id", "class").agg(*[first_present(F.col(p), order).alias(p) for p in properties], sum(conflict[1:], conflict[0]).alias("conflicts"))
@@ -144,7 +144,7 @@ def assemble(layers: dict[str, tuple[DataFrame, DataFrame]], *, properties: list
     stack = lambda i: _union([df[i].withColumn("layer", F.lit(name)).withColumn("layer_rank", layer_rank(F.lit(name))) for name, df in layers.items()])
     nodes, edges = stack(0), stack(1)
     keys = ["subject", "predicate", "object"]
-    first_n = nodes.groupBy("id").agg(F.min_by("class", order).alias("_class"), F.min(order).alias("_first"))
+    first_n = nodes.groupBy("id").agg(F.min_by("class", F.struct(order, "class")).alias("_class"), F.min(order).alias("_first"))
     first_e = edges.groupBy(*keys).agg(F.min(order).alias("_first"))
     fate_n = nodes.join(first_n, "id").select("layer", F.lit("nodes").alias("kind"), F.when(F.col("class") != F.col("_class"), "rejected").when(order == F.col("_first"), "new").otherwise("merged").alias("fate"))
     fate_e = edges.join(first_e, keys).select("layer", F.lit("edges").alias("kind"), F.when(order == F.col("_first"), "new").otherwise("merged").alias("fate"))

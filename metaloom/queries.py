@@ -371,7 +371,8 @@ f AS (SELECT id, arg_min(class, (layer_rank, line_no)) AS class FROM rows_ GROUP
 SELECT id, class, arg_min(flag, (layer_rank, line_no)) FILTER (flag IS NOT NULL) AS flag, arg_min(status, (layer_rank, line_no)) FILTER (status IS NOT NULL) AS status, CAST(count(DISTINCT flag) > 1 AS INTEGER) + CAST(count(DISTINCT status) > 1 AS INTEGER) AS conflicts FROM rows_ JOIN f USING (id, class) GROUP BY 1, 2""")
 def node_merge_conflicts(spark, sf):
     i = load(spark, sf, "lineitem")
-    rows = i.select(F.col("l_partkey").alias("id"), F.when(F.col("l_tax") > 0.06, "B").otherwise("A").alias("class"), (F.col("l_linenumber") % 3).alias("layer_rank"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"), F.col("l_returnflag").alias("flag"), F.when(F.col("l_discount") > 0.04, F.col("l_linestatus")).alias("status"))
+    line = F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "_metadata.file_path", "_metadata.row_index")  # numbers repeat; the row that the table has first is the first line
+    rows = i.select(F.col("l_partkey").alias("id"), F.when(F.col("l_tax") > 0.06, "B").otherwise("A").alias("class"), (F.col("l_linenumber") % 3).alias("layer_rank"), line.alias("line_no"), F.col("l_returnflag").alias("flag"), F.when(F.col("l_discount") > 0.04, F.col("l_linestatus")).alias("status"))
     return assemble.merge_nodes(rows, ["flag", "status"])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from metaloom.functions import scalar, stats
 from metaloom.operators import ask, assemble, evaluate, graph, rank, similarity, temporal, transforms, validate
 from metaloom.plans import layers, metapath
+from metaloom.queries import QUERIES
 from metaloom.sources import release
 from metaloom.sources.graph_view import Graph
 
@@ -124,6 +125,17 @@ def test_statistics(spark):
     assert stats.smallest_arm(0.9, 0.1) < stats.smallest_arm(0.7, 0.2) and stats.resolvable_steps(0.05, 99) == 5
 
 
+def test_first_of_nodes_that_share_a_line(spark, tmp_path):
+    n = [("x", "B", 0, 1, "q", None), ("x", "A", 0, 1, "s", "u"), ("x", "A", 0, 1, "r", "t")]
+    for rows in (n, n[::-1]):
+        got = assemble.merge_nodes(spark.createDataFrame(rows, "id string, class string, layer_rank int, line_no int, u string, v string").coalesce(1), ["u", "v"])
+        assert [tuple(r) for r in got.collect()] == [("x", "A", "r", "t", 2)]
+    for flags in ("RNA", "ANR", "NRA"):  # the same line number thrice: the row that the table has first
+        items = spark.createDataFrame([(1, 5, 2, f, "O", 0.05, 0.01) for f in flags], "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_discount double, l_tax double")
+        items.coalesce(1).write.parquet(f"{tmp_path}/{flags}/lineitem.parquet")
+        assert QUERIES["node_merge_conflicts"](spark, f"{tmp_path}/{flags}").select("id", "flag", "conflicts").collect() == [(5, flags[0], 1)]
+
+
 def test_merges(spark):
     w = spark.createDataFrame(
         [("s", "o", 1, 1, "b|a", None, "1970-01-01", "unknown"), ("s", "o", 0, 9, "c", 2.0, "2020-05-01", "inhibitor"), ("s", "o", 0, 2, "a", 3.0, "2020", "agonist"), ("t", "o", 0, 1, None, None, "1970-01-01", None)],
