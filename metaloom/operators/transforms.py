@@ -121,21 +121,36 @@ def unanimous(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.when(F.count_distinct(value) == 1, F.min(value)).otherwise(F.lit("unknown")).alias(value))
 
 
+FOLD_ROWS = 500  #: chains of a fold that one block pairs with the whole fold
+
+
 def fold_pairs(chains: DataFrame) -> DataFrame:
     """(a, b, allowed, mode, strength, shared) of chain pairs that share a fold, gated by role and chemistry.
 
     chains: id, role, catalytic_type ("none": no machinery, "unknown": not established), folds. Pairs meet
-    by fold, so chains without a common fold are never paired; gates apply in order.
+    by fold, so chains without a common fold are never paired; gates apply in order. A pair is made in its
+    first common fold only, with what both rows carry, so pairs leave as they are made and are never
+    shuffled. A large fold is dealt in blocks to tasks of their own, by the number of its chains.
     """
-    each = chains.select("id", "role", "catalytic_type", F.explode("folds").alias("fold"))
-    side = lambda s: each.select(F.col("id").alias(s), F.col("role").alias(f"role_{s}"), F.col("catalytic_type").alias(f"type_{s}"), "fold")
-    x = side("a").join(side("b"), "fold").where("a < b").groupBy("a", "b", "role_a", "role_b", "type_a", "type_b").agg(F.array_sort(F.collect_set("fold")).alias("shared"))
+    key, spark = ["id", "role", "catalytic_type"], chains.sparkSession
+    own = chains.groupBy(*key).agg(F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.collect_list("folds"))))).alias("folds"))
+    each = own.withColumn("fold", F.explode("folds"))
+    blocks = each.groupBy("fold").agg(F.ceil(F.count("*") / FOLD_ROWS).cast("int").alias("blocks"))
+    each = each.join(blocks, "fold")
+    side = lambda df, s: df.select("fold", "block", *[F.col(c).alias(f"{n}_{s}") for c, n in zip([*key, "folds"], ("id", "role", "type", "folds"))])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a stated number: few bytes here become many pairs, so no partitions are joined together
+    a = side(each.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "a").repartition(n, "fold", "block")
+    b = side(each.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "b").repartition(n, "fold", "block")
+    one = (F.size("folds_a") == 1) | (F.size("folds_b") == 1)
+    shared = F.when(one, F.array("fold")).otherwise(F.array_intersect("folds_a", "folds_b"))
+    x = a.join(b.hint("merge"), ["fold", "block"]).where((F.col("id_a") < F.col("id_b")) & (one | (F.get(shared, F.lit(0)) == F.col("fold"))))
     ta, tb = F.col("type_a"), F.col("type_b")
     mode = (
         F.when(F.col("role_a") != F.col("role_b"), "role_differs").when((ta == "unknown") | (tb == "unknown"), "unknown_chemistry")
         .when((ta == "none") != (tb == "none"), "one_sided").when((ta == "none") & (tb == "none"), "fold_only").when(ta == tb, "catalytic").otherwise("types_differ")
     )
-    return x.select("a", "b", mode.isin("fold_only", "catalytic").alias("allowed"), mode.alias("mode"), F.when(mode == "catalytic", "strong").when(mode == "fold_only", "weak").alias("strength"), F.array_join("shared", "|").alias("shared"))
+    x = x.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), mode.alias("mode"), F.when(one, F.col("fold")).otherwise(F.array_join(shared, "|")).alias("shared"))
+    return x.select("a", "b", F.col("mode").isin("fold_only", "catalytic").alias("allowed"), "mode", F.when(F.col("mode") == "catalytic", "strong").when(F.col("mode") == "fold_only", "weak").alias("strength"), "shared")
 
 
 # ---------------------------------------------------------------- identifiers

@@ -174,6 +174,22 @@ def test_set_join_loses_nothing(spark):
         assert got == pytest.approx(want)
 
 
+def test_fold_pairs_are_made_once_and_never_shuffled(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("xy"), rng.choice(["none", "unknown", "serine", "zinc"]), [rng.choice(["f", "g", "h", None]) for _ in range(rng.randrange(4))]) for i in range(60)]
+    rows += [rows[3], (rows[5][0], *rows[5][1:3], ["h", "k"]), (60, "x", "none", None), (61, "x", "none", ["k"])]
+    own = {}
+    for i, role, kind, folds in rows:
+        own.setdefault((i, role, kind), set()).update(x for x in folds or [] if x)
+    want = {(a[0], b[0], "|".join(sorted(own[a] & own[b]))) for a, b in itertools.permutations(own, 2) if a[0] < b[0] and own[a] & own[b]}
+    for size in (transforms.FOLD_ROWS, 7):
+        monkeypatch.setattr(transforms, "FOLD_ROWS", size)
+        got = transforms.fold_pairs(spark.createDataFrame(rows, "id int, role string, catalytic_type string, folds array<string>"))
+        assert sorted((r.a, r.b, r.shared) for r in got.collect()) == sorted(want)
+        above = got._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+        assert "Exchange" not in above and "Aggregate" not in above
+
+
 def test_validation(spark):
     g = make(spark, [("A:1", "A"), ("A:1", "A"), ("bad", "A"), ("X:1", "A"), ("B:1", "Z")], [("A:1", "P", "A:1", "q", "s"), ("A:1", "U", "A:1", "q", "s"), ("A:1", "P", "none", "q", "s"), ("A:1", "S", "A:1", None, None), ("A:1", "P", "B:1", "q", "s")])
     v = validate.validate_nodes(g.nodes, [validate.NodeClass("A", ("A",))])
