@@ -78,6 +78,22 @@ def reference_population(candidates: DataFrame, references: DataFrame, publicati
     return pairs.join(shared, ["id", "reference"], "left_anti")
 
 
+def population_sizes(candidates: DataFrame, references: DataFrame, publications: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., id, n): how many references ``reference_population`` has for a candidate, where it has any; the pairs are not made.
+
+    The references of a cell, less the candidate itself and less those that share a publication with it. Only those
+    are found one by one: publications are joined together with the cell.
+    """
+    c, f = candidates.select(*by, "id").distinct(), references.select(*by, F.col("id").alias("reference")).distinct()
+    own = f.select(*by, F.col("reference").alias("id"), F.lit(1).alias("_own"))
+    p = publications.select("id", "publication")
+    shared = p.join(c, "id").join(p.withColumnRenamed("id", "reference").join(f, "reference"), ["publication", *by]).where("id <> reference")
+    shared = shared.select(*by, "id", "reference").distinct().groupBy(*by, "id").agg(F.count("*").alias("_shared"))
+    n = F.col("_all") - F.coalesce("_own", F.lit(0)) - F.coalesce("_shared", F.lit(0))
+    out = c.where("id is not null").join(f.where("reference is not null").groupBy(*by).agg(F.count("*").alias("_all")), by).join(own, [*by, "id"], "left").join(shared, [*by, "id"], "left")
+    return out.select(*by, "id", n.alias("n")).where("n > 0")
+
+
 def emptied_candidates(candidates: DataFrame, population: DataFrame, by: list[str]) -> DataFrame:
     """(by..., candidates, emptied): how many candidates an exclusion left without any reference."""
     left = population.select(*by, "id").distinct().withColumn("_has", F.lit(True))

@@ -2,10 +2,13 @@
 
 import gzip
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+import metaloom.queries_relational  # noqa: F401
 import metaloom.queries_sources  # noqa: F401
 from metaloom.functions import texts
 from metaloom.operators import assemble, graph, rank, relational, screens, studies, temporal
@@ -147,6 +150,26 @@ def test_refusals(spark):
     assert 0.5 < studies.detectable_auc(400, 400, 1.96) < studies.detectable_auc(40, 40, 1.96) < 0.7
 
 
+def test_population_sizes_count_the_pairs_without_making_them(spark):
+    rng = random.Random(6)
+    c = [(rng.choice("vw"), rng.randrange(40)) for _ in range(70)] + [(None, 3), ("v", None), ("u", 90)]
+    f = [x for x in c if x[1] and x[1] % 3 == 0] + [("v", None), ("v", 77)]
+    p = [(rng.randrange(80), rng.randrange(25)) for _ in range(160)] + [(None, 1), (3, None), (77, 99)]
+    c, f, p = (spark.createDataFrame(x, y) for x, y in ((c, "virus string, id int"), (f, "virus string, id int"), (p, "id int, publication int")))
+    pairs = studies.reference_population(c.distinct(), f.distinct(), p, ["virus"])
+    sizes = studies.population_sizes(c, f, p, ["virus"])
+    assert sorted(sizes.collect()) == sorted(pairs.groupBy("virus", "id").agg(F.count("*").alias("n")).collect()) and sizes.count() > 30
+
+
+def test_populations_of_a_large_table_make_no_pairs(spark, tmp_path):
+    spark.range(60_000).selectExpr("id AS p_partkey", "1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")  # 720 million pairs in one cell
+    spark.range(60_000).selectExpr("id AS l_partkey", "id div 2 AS l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    began = time.monotonic()
+    n = QUERIES["scorer_population"](spark, str(tmp_path)).groupBy("n").count().collect()
+    assert dict((r.n, r["count"]) for r in n) == {12_000: 36_000, 11_999: 24_000}
+    assert time.monotonic() - began < 60
+
+
 def test_distances_equal_a_plain_search(spark):
     pairs = [(i, (i * 7 + 3) % 40) for i in range(40)] + [(50, 51)]
     got = {r.id: r.distance for r in graph.distances(spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "a string, b string"), spark.createDataFrame([("0",)], "id string"), 4).collect()}
