@@ -95,7 +95,7 @@ def population_sizes(candidates: DataFrame, references: DataFrame, publications:
 
 
 def emptied_candidates(candidates: DataFrame, population: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., candidates, emptied): how many candidates an exclusion left without any reference."""
+    """(by..., candidates, emptied): how many candidates an exclusion left without any reference; ``population`` may be its pairs or its sizes."""
     left = population.select(*by, "id").distinct().withColumn("_has", F.lit(True))
     return candidates.select(*by, "id").distinct().join(left, [*by, "id"], "left").groupBy(*by).agg(F.count("*").alias("candidates"), F.count_if(F.col("_has").isNull()).alias("emptied"))
 

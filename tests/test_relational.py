@@ -159,6 +159,8 @@ def test_population_sizes_count_the_pairs_without_making_them(spark):
     pairs = studies.reference_population(c.distinct(), f.distinct(), p, ["virus"])
     sizes = studies.population_sizes(c, f, p, ["virus"])
     assert sorted(sizes.collect()) == sorted(pairs.groupBy("virus", "id").agg(F.count("*").alias("n")).collect()) and sizes.count() > 30
+    key = lambda df: sorted(df.collect(), key=str)
+    assert key(studies.emptied_candidates(c, sizes, ["virus"])) == key(studies.emptied_candidates(c, pairs, ["virus"]))
 
 
 def test_populations_of_a_large_table_make_no_pairs(spark, tmp_path):
@@ -167,6 +169,7 @@ def test_populations_of_a_large_table_make_no_pairs(spark, tmp_path):
     began = time.monotonic()
     n = QUERIES["scorer_population"](spark, str(tmp_path)).groupBy("n").count().collect()
     assert dict((r.n, r["count"]) for r in n) == {12_000: 36_000, 11_999: 24_000}
+    assert QUERIES["emptied_candidates"](spark, str(tmp_path)).collect() == [(1, 60_000, 0)]
     assert time.monotonic() - began < 60
 
 
