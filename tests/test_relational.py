@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import metaloom.queries_agents  # noqa: F401
 import metaloom.queries_relational  # noqa: F401
 import metaloom.queries_sources  # noqa: F401
 from metaloom.functions import texts
@@ -123,6 +124,13 @@ def test_assembly_merges_layers_by_precedence(spark):
     assert assemble.reconcile(fates, nodes, edges).count() == 0
 
 
+def test_accounting_adds_up_where_layers_share_ids(spark, tmp_path):
+    spark.createDataFrame([(0, 50, "t"), (100000, 50, "t")], "p_partkey long, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")  # part 0 in the layer "extra" is 100000 too
+    spark.createDataFrame([(1, 0, 50.0, "R")], "l_suppkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.layer, r.kind): (r.rows, r.new, r.merged, r.rejected) for r in QUERIES["assembly_accounting"](spark, str(tmp_path)).collect()}
+    assert got == {("chembl", "nodes"): (2, 2, 0, 0), ("gtop", "nodes"): (1, 0, 1, 0), ("extra", "nodes"): (2, 1, 0, 1), ("chembl", "edges"): (1, 1, 0, 0), ("gtop", "edges"): (1, 0, 1, 0)}
+
+
 def test_split_sink(spark, tmp_path):
     edges = spark.createDataFrame([("a", "P", "b", None, "s", 2000), ("a", "P", "c", None, "s", 2020), ("c", "L", "d", None, "s", 1999)], "subject string, predicate string, object string, qualifier string, source string, year int")
     nodes = spark.createDataFrame([(x, "X") for x in "abcd"], "id string, class string")
