@@ -43,6 +43,14 @@ def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return q, top / 127.0, top * np.linalg.norm(unit, axis=1) * slack, top * (np.linalg.norm(unit - q / 127.0, axis=1) * slack + 1e-15)
 
 
+def finer(v: np.ndarray, q: np.ndarray, scales: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A second int8 plane for what rounding left, in 254ths of a scale, and the norms of what that leaves (a little more)."""
+    top = scales * 127.0
+    rest = v / top[:, None] - q / 127.0
+    f = np.rint(np.clip(rest * 127.0 * 254.0, -127, 127)).astype(np.int8)
+    return f, top * (np.linalg.norm(rest - f / (127.0 * 254.0), axis=1) * (1 + 1e-12 * v.shape[1]) + 1e-15)
+
+
 def in_order(a: Column, b: Column) -> Column:
     """The inner product in double precision, summed from the first component to the last."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -139,6 +147,20 @@ def _reaching(kept: list[tuple[np.ndarray, ...]], floors: np.ndarray) -> tuple[n
     return i[sure], j[sure], low[sure], high[sure]
 
 
+def refined(i: np.ndarray, j: np.ndarray, asked: tuple, had: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Those pairs of a cell that can still be among a query's k best by both planes, with these bounds; sides hold int8 vectors, scales, norms, second planes and what those leave."""
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    (q8, qs, qn, qf, ql), (c8, cs, cn, cf, cl) = asked, had
+    mid = np.empty(len(i))
+    for at in range(0, len(i), 1 << 14):
+        a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        mid[at : at + (1 << 14)] = np.einsum("nd,nd->n", q8[a] + qf[a] / 254.0, c8[b] + cf[b] / 254.0) * qs[a] * cs[b]
+    error = ql[i] * cn[j] + (qn + ql)[i] * cl[j] + 1e-9 * np.abs(mid) + 1e-12 * (1 + q8.shape[1]) * qn[i] * cn[j]
+    floors = raised(np.full((len(q8), k), -np.inf), i, mid - error)
+    return _reaching([(i, j, mid - error, mid + error)], floors)
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query among all other rows."""
     scratch = scratch or Scratch(vectors.sparkSession)
@@ -151,10 +173,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str =
             for d in np.unique(length):
                 own = b.filter(pa.array(length == d))
                 q, s, n, left = quantise(np.asarray(own.column("v").flatten(), np.float64).reshape(own.num_rows, -1))
-                tiny = pa.array([x.tobytes() for x in q], pa.binary())
-                yield pa.RecordBatch.from_pydict({"d": own.column("d"), "row": own.column("row"), "q": own.column("q"), "tiny": tiny, "s": pa.array(s), "n": pa.array(n), "l": pa.array(left)})
+                f, rest = finer(np.asarray(own.column("v").flatten(), np.float64).reshape(own.num_rows, -1), q, s)
+                tiny, fine = (pa.array([x.tobytes() for x in p], pa.binary()) for p in (q, f))
+                yield pa.RecordBatch.from_pydict({"d": own.column("d"), "row": own.column("row"), "q": own.column("q"), "tiny": tiny, "s": pa.array(s), "n": pa.array(n), "l": pa.array(left), "fine": fine, "r": pa.array(rest)})
 
-    tiny = scratch.save(rows.select("v", "d", "row", "q").mapInArrow(small, "d int, row bigint, q boolean, tiny binary, s double, n double, l double"))
+    tiny = scratch.save(rows.select("v", "d", "row", "q").mapInArrow(small, "d int, row bigint, q boolean, tiny binary, s double, n double, l double, fine binary, r double"))
     n, nq, total, asked_bytes = tiny.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0)), F.coalesce(F.sum(F.col("d") + 40), F.lit(0)), F.coalesce(F.sum(F.when(F.col("q"), F.col("d") + 40)), F.lit(0))).first()
     nc, nb = max(1, -(-total // CELL_BYTES)), max(1, -(-asked_bytes // CELL_BYTES))
     block = lambda m, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(m)).cast("int")
@@ -165,14 +188,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str =
     def cell(asked: pa.Table, had: pa.Table) -> pa.Table:
         if not asked.num_rows or not had.num_rows:
             return schema.empty_table()
-        grid = lambda t: np.frombuffer(b"".join(t.column("tiny").to_pylist()), np.int8).reshape(t.num_rows, -1)
-        parts = lambda t: (t.column("row").to_numpy(), grid(t), *(t.column(x).to_numpy() for x in "snl"))
+        grid = lambda t, plane: np.frombuffer(b"".join(t.column(plane).to_pylist()), np.int8).reshape(t.num_rows, -1)
+        parts = lambda t: (t.column("row").to_numpy(), grid(t, "tiny"), *(t.column(x).to_numpy() for x in "snl"))
         a, b = parts(asked), parts(had)
-        i, j, low, high = best_of_cell(a, b, k)
+        i, j, _, _ = best_of_cell(a, b, k)
+        i, j, low, high = refined(i, j, *((*x[1:4], grid(t, "fine"), t.column("r").to_numpy()) for x, t in ((a, asked), (b, had))), k)
         return pa.table({"q": a[0][i], "c": b[0][j], "low": low, "high": high}, schema)
 
     found = asks.groupBy("d", "c", "b").cogroup(cands.groupBy("d", "c", "b")).applyInArrow(cell, "q bigint, c bigint, low double, high double")
     found = scratch.save(found)
+    scratch.drop(tiny)
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))
     floor = found.select("q", "low", place.alias("place")).where(F.col("place") == k).select(F.col("q").alias("fq"), F.col("low").alias("floor"))
     able = found.join(floor, F.col("q") == F.col("fq"), "left").where(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("q", "c")

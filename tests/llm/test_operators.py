@@ -469,6 +469,12 @@ def test_a_cell_holds_tiles_not_products(monkeypatch):
         for i in range(40):
             want = set(np.flatnonzero((v[2 * i] @ v.T > best[i] * (1 + 1e-12 * np.sign(best[i]))) & (had[0] != 2 * i)).tolist())
             assert want <= set(c[q == i].tolist()) and (q == i).sum() >= 20
+        side = lambda x, n: (*x[1:4], *ann.finer(v[x[0][:n]], *x[1:3]))
+        fq, fc, flow, fhigh = ann.refined(q, c, side(tuple(x[:40] for x in asked), 40), side(had, 5000), 20)
+        exact = (v[::2][fq] * v[fc]).sum(axis=1)
+        assert (flow <= exact).all() and (exact <= fhigh).all() and len(fq) <= len(q) and np.median(fhigh - flow) * 50 < np.median(high - low)
+        for i in range(40):
+            assert set(c[q == i][(v[c[q == i]] @ v[2 * i]) > best[i] * (1 + 1e-12 * np.sign(best[i]))].tolist()) <= set(fc[fq == i].tolist()) and (fq == i).sum() >= 20
         tracemalloc.reset_peak()
         few = tuple(x[2300:] for x in had)
         assert len(ann.best_of_cell(asked, few, 20)[0]) >= 20 * 2500
