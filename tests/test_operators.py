@@ -136,6 +136,17 @@ def test_first_of_nodes_that_share_a_line(spark, tmp_path):
         assert QUERIES["node_merge_conflicts"](spark, f"{tmp_path}/{flags}").select("id", "flag", "conflicts").collect() == [(5, flags[0], 1)]
 
 
+def test_nodes_that_share_a_line_in_different_files(spark, tmp_path):
+    rows = [(1, 5, 2, "R", "O", 0.05, 0.01), (1, 5, 2, "N", "F", 0.05, 0.01), (1, 6, 2, "A", "O", 0.05, 0.07), (1, 6, 2, "R", "F", 0.05, 0.01)]  # part 5: other flags on one line, part 6: other classes
+    for name, first, want in (("up", 0, {(5, "A", "R", "O", 2), (6, "B", "A", "O", 0)}), ("down", 1, {(5, "A", "N", "F", 2), (6, "A", "R", "F", 0)})):
+        (tmp_path / name / "lineitem.parquet").mkdir(parents=True)
+        for i in range(2):  # two files, read in the order of their names
+            items = spark.createDataFrame(rows[(first + i) % 2 :: 2], "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_discount double, l_tax double")
+            items.toPandas().to_parquet(f"{tmp_path}/{name}/lineitem.parquet/part-{i}.parquet", index=False)
+        got = QUERIES["node_merge_conflicts"](spark, f"{tmp_path}/{name}").select("id", "class", "flag", "status", "conflicts").collect()
+        assert {tuple(r) for r in got} == want
+
+
 def test_merges(spark):
     w = spark.createDataFrame(
         [("s", "o", 1, 1, "b|a", None, "1970-01-01", "unknown"), ("s", "o", 0, 9, "c", 2.0, "2020-05-01", "inhibitor"), ("s", "o", 0, 2, "a", 3.0, "2020", "agonist"), ("t", "o", 0, 1, None, None, "1970-01-01", None)],
